@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import minhash_dedup
+from . import decontam, minhash_dedup, mixing, sharding, toxicity
 from ._util import table
 
 
@@ -14,8 +14,33 @@ def op2_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, item_id, score and the passage's first and last word of every contaminated document."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("node")
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents chosen, with their shard, block and their source's quota in the shard."""
+    return mixing.allocate(table(spark, sf_dir, "documents")).drop("row_key")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, score and offending offsets of every toxic document."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.model(docs, table(spark, sf_dir, "labels"))).where("toxic")
+
+
+def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of every document."""
+    return sharding.assign(table(spark, sf_dir, "documents")).select("doc_id", "region", "rack", "shard")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_minhash_dedup": op2_minhash_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op8_mixing": op8_mixing,
+    "op9_toxicity": op9_toxicity,
+    "op10_sharding": op10_sharding,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op8_mixing": mixing.sql(), "op10_sharding": sharding.sql()}
