@@ -1,8 +1,61 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: documents in, clean, distinct, mixed and placed documents out.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
+and read again as the next stage's docs.  All but the last return the columns of documents.
+"""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+
+from textloom.llm import decontam, minhash_dedup, mixing, sharding, toxicity
+from textloom.llm._util import discard_all, shared_dir, table
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that the span tagger, fitted to labelled documents of the input, calls toxic."""
+    return toxicity.drop_toxic(docs, toxicity.model(docs, table(spark, sf_dir, "labels")))
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies, the one with the smallest doc_id."""
+    return minhash_dedup.drop_near_duplicates(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Without the documents that hold a copy, exact or edited, of a benchmark item."""
+    return decontam.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The blocks of each source that its target weight gives it."""
+    return mixing.mix_documents(docs)
+
+
+def place(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document with its region, rack and shard."""
+    return sharding.assign(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+    ("sharding", place),
+]
+
+#: Neither the tagger nor the groups can be said in SQL.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    for name, stage in STAGES:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        discard_all()
+        docs = spark.read.parquet(f"{at}/{name}")
+    return docs
