@@ -138,5 +138,5 @@ def char_offsets(data: np.ndarray, base: int, where: np.ndarray) -> np.ndarray:
     """Characters between byte base and each of the bytes where."""
     if not len(where):
         return where
-    lead = np.cumsum((data[base : where.max()] & 0xC0) != 0x80)
+    lead = np.cumsum((data[base : max(where.max(), base + 1)] & 0xC0) != 0x80)
     return np.where(where > base, lead[np.maximum(where - base, 1) - 1], 0)

@@ -329,8 +329,8 @@ class Scorer:
         self.lexicon = [(np.array(a, np.uint64), np.array(b, np.int8)) for a, b in m["lexicon"]]
         self.theta, self.trans, self.threshold = np.array(m["theta"]), np.array(m["trans"]), m["threshold"]
 
-    def __call__(self, arr: pa.Array) -> tuple[np.ndarray, list]:
-        """Scores, and of each document over the threshold [(start, end, probability)] in characters."""
+    def __call__(self, arr: pa.Array, located: bool = True) -> tuple[np.ndarray, list]:
+        """Scores, and (if located) of each document over the threshold [(start, end, probability)] in characters."""
         w = words(arr)
         n = len(arr)
         if not len(w.start):
@@ -338,7 +338,7 @@ class Scorer:
         p = _marginal(_levels(_keys(w), self.lexicon), w.of, self.theta, self.trans)
         score = document_scores(p, w.of)
         spans: list = [None] * n
-        for d in np.flatnonzero(score >= self.threshold):
+        for d in np.flatnonzero(score >= self.threshold) if located else ():
             lo, hi = w.of[d], w.of[d + 1]
             hit = lo + np.flatnonzero(p[lo:hi] >= SPAN)
             a, b = (char_offsets(w.data, w.at[d], x[hit]) for x in (w.start, w.end))
@@ -369,7 +369,7 @@ def drop_toxic(docs: DataFrame, m: dict) -> DataFrame:
         for batch in batches:
             text = batch.column(at)
             for i, j in slices(text):
-                s, _ = scorer(text[i:j])
+                s, _ = scorer(text[i:j], located=False)
                 yield batch[i:j].filter(pa.array(s < scorer.threshold))
 
     at = docs.columns.index("text")
