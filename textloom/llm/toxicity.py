@@ -41,27 +41,30 @@ _KINDS = 1 + len(PREFIXES)
 # --- features ---------------------------------------------------------------------------
 
 
-def _keys(w: Words) -> list[np.ndarray]:
-    """Hashes of each word and of its first bytes; a shorter word has no such prefix (0)."""
-    out = [w.hash]
-    size = w.end - w.start
-    for i, p in enumerate(PREFIXES):
-        long = size > p
-        k = np.zeros(len(size), np.uint64)
-        k[long] = mix(w.hash_of(w.start[long], w.start[long] + p) + np.uint64(i + 1))
-        out.append(k)
+def _key(w: Words, kind: int) -> np.ndarray:
+    """Hash of each word (kind 0), or of its first bytes; a shorter word has no such prefix (0)."""
+    if not kind:
+        return w.hash
+    p = PREFIXES[kind - 1]
+    long = w.end - w.start > p
+    k = np.zeros(len(long), np.uint64)
+    k[long] = mix(w.hash_of(w.start[long], w.start[long] + p) + np.uint64(kind))
+    return k
+
+
+def _level(k: np.ndarray, known: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """The lexicon's level of each key, 0 if it has none."""
+    out = np.zeros(len(k), np.int8)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, k), len(known) - 1)
+        hit = known[at] == k
+        out[hit] = level[at[hit]]
     return out
 
 
-def _levels(keys: list[np.ndarray], lexicon: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-    """The lexicon's level of each key, 0 if it has none; a row for each kind."""
-    out = np.zeros((len(keys), len(keys[0])), np.int8)
-    for r, (k, (known, level)) in enumerate(zip(keys, lexicon)):
-        if len(known):
-            at = np.minimum(np.searchsorted(known, k), len(known) - 1)
-            hit = known[at] == k
-            out[r, hit] = level[at[hit]]
-    return out
+def _levels(w: Words, lexicon: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """A row of levels for each kind."""
+    return np.stack([_level(_key(w, kind), *lexicon[kind]) for kind in range(_KINDS)])
 
 
 def _emissions(levels: np.ndarray, theta: np.ndarray) -> np.ndarray:
@@ -151,16 +154,25 @@ def document_scores(p: np.ndarray, of: np.ndarray) -> np.ndarray:
 # --- fitting ----------------------------------------------------------------------------
 
 
-def _contexts(keys: np.ndarray, ctx: np.ndarray, ok: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Number of different contexts of each key."""
-    k = keys[ok]
-    _, at = np.unique(mix(k * np.uint64(3) + ctx[ok]), return_index=True)
+def _context_of(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Hash of each word's two neighbours in its document."""
+    before, after = np.zeros(len(h), np.uint64), np.zeros(len(h), np.uint64)
+    same = doc[1:] == doc[:-1]
+    before[1:] = np.where(same, h[:-1], 0)
+    after[:-1] = np.where(same, h[1:], 0)
+    return mix(before * np.uint64(3) + after)
+
+
+def _contexts(k: np.ndarray, ctx: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys, and how many different contexts each has."""
+    _, at = np.unique(mix(k * np.uint64(3) + ctx), return_index=True)
     return np.unique(k[at], return_counts=True)
 
 
 def _without_copies(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.ndarray]:
     """The first of each group of near copies: what only one text and its copies say is no evidence."""
-    m = signature_matrix(pa.array(texts, pa.string()), 64, 3).view(np.uint64)
+    arr = pa.array(texts, pa.string())
+    m = np.concatenate([signature_matrix(arr[i:j], 64, 3) for i, j in slices(arr)]).view(np.uint64)
     seen: set[tuple[int, int]] = set()
     keep = []
     for i, row in enumerate(mix(m[:, ::2] * np.uint64(3) + m[:, 1::2]).tolist()):
@@ -179,59 +191,54 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, least: int = 3) -
     texts, toxic = _without_copies(texts, toxic)
     if not toxic.any() or toxic.all():
         return empty
-    # keys and contexts by class
-    seen: dict[bool, list[list]] = {True: [], False: []}
-    parts = []
     arr = pa.array(texts, pa.string())
-    for i, j in slices(arr):
-        w = words(arr[i:j])
-        k = _keys(w)
-        h, n = k[0], len(k[0])
-        inside = w.doc_of()
-        before, after = np.zeros(n, np.uint64), np.zeros(n, np.uint64)
-        if n > 1:
-            same = inside[1:] == inside[:-1]
-            before[1:] = np.where(same, h[:-1], 0)
-            after[:-1] = np.where(same, h[1:], 0)
-        ctx = mix(before * np.uint64(3) + after)
-        t = toxic[i:j][inside]
-        parts.append((k, w.of, toxic[i:j]))
-        for c in (True, False):
-            seen[c].append((t == c, k, ctx))
-    tokens = {c: sum(int(s[0].sum()) for s in seen[c]) for c in seen}
+    cuts = list(slices(arr))
+    tokens = {True: 0, False: 0}
     lexicon = []
-    for kind in range(_KINDS):
-        cat = lambda c: (np.concatenate([k[kind][ok & (k[kind] != 0)] for ok, k, _ in seen[c]]), np.concatenate([x[ok & (k[kind] != 0)] for ok, k, x in seen[c]]))
-        (kt, xt), (kc, xc) = cat(True), cat(False)
-        u, a = _contexts(kt, xt, np.ones(len(kt), bool))
+    for kind in range(_KINDS):  # one kind at a time: only its keys are in memory
+        seen: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+        for i, j in cuts:
+            w = words(arr[i:j])
+            k, inside = _key(w, kind), w.doc_of()
+            bad = toxic[i:j][inside]
+            if not kind:
+                tokens[True] += int(bad.sum())
+                tokens[False] += int((~bad).sum())
+            ctx = _context_of(w.hash, inside)
+            for c in (True, False):
+                ok = (bad == c) & (k != 0)
+                seen[c].append((k[ok], ctx[ok]))
+        (kt, xt), (kc, xc) = (tuple(np.concatenate(x) for x in zip(*seen.pop(c))) for c in (True, False))
+        u, a = _contexts(kt, xt)
         u, a = u[a >= least], a[a >= least]
-        at = np.searchsorted(u, kc)
-        hit = (at < len(u)) & (u[np.minimum(at, max(len(u) - 1, 0))] == kc) if len(u) else np.zeros(len(kc), bool)
         b = np.zeros(len(u))
-        if hit.any():
-            v, nb = _contexts(kc, xc, hit)
-            b[np.searchsorted(u, v)] = nb
+        if len(u):
+            hit = u[np.minimum(np.searchsorted(u, kc), len(u) - 1)] == kc
+            if hit.any():
+                v, nb = _contexts(kc[hit], xc[hit])
+                b[np.searchsorted(u, v)] = nb
         # log of the ratio of rates, with the clean rate never under half a context
         ratio = np.log((a + 0.5) / max(tokens[True], 1)) - np.log((b + 0.5) / max(tokens[False], 1))
-        # expected by chance: sure is how far the toxic share is from the tokens' share, in standard deviations
+        # how far the toxic share is from the tokens' share, in standard deviations of chance
         share = tokens[True] / (tokens[True] + tokens[False])
         sure = (a - share * (a + b)) / np.sqrt(share * (1 - share) * (a + b))
         level = np.where((ratio >= np.log(20)) & (sure >= (8 if kind else 6)), 4, np.where((ratio >= np.log(20)) & (sure >= 4), 3, np.where((ratio >= np.log(5)) & (sure >= 3), 2, 1)))
         good = level > 1
         lexicon.append((u[good], level[good].astype(np.int8)))
-    feats, labels, offs, base = [], [], [np.zeros(1, np.int64)], 0
-    for k, of, tox in parts:
-        lv = _levels(k, lexicon)
+    feats, labels, offs, own_offsets, base = [], [], [np.zeros(1, np.int64)], [], 0
+    for i, j in cuts:
+        w = words(arr[i:j])
+        lv = _levels(w, lexicon)
         feats.append(lv)
-        labels.append((lv == 4).any(axis=0) & np.repeat(tox, np.diff(of)))
-        offs.append(of[1:] + base)
-        base += of[-1]
-    lv, y, of = np.concatenate(feats, axis=1), np.concatenate(labels), np.concatenate(offs)
+        labels.append((lv == 4).any(axis=0) & np.repeat(toxic[i:j], w.lengths()))
+        own_offsets.append(w.of)
+        offs.append(w.of[1:] + base)
+        base += w.of[-1]
+    y, of = np.concatenate(labels), np.concatenate(offs)
     if not y.any():
         return empty
-    theta, trans = _train(lv, y, of, rounds)
-    p = _marginal(lv, of, theta, trans)
-    score = document_scores(p, of)
+    theta, trans = _train(np.concatenate(feats, axis=1), y, of, rounds)
+    score = np.concatenate([document_scores(_marginal(x, o, theta, trans), o) for x, o in zip(feats, own_offsets)])
     return {
         "lexicon": [[[int(x) for x in a], [int(x) for x in b]] for a, b in lexicon],
         "theta": theta.tolist(),
@@ -335,7 +342,7 @@ class Scorer:
         n = len(arr)
         if not len(w.start):
             return np.zeros(n), [None] * n
-        p = _marginal(_levels(_keys(w), self.lexicon), w.of, self.theta, self.trans)
+        p = _marginal(_levels(w, self.lexicon), w.of, self.theta, self.trans)
         score = document_scores(p, w.of)
         spans: list = [None] * n
         for d in np.flatnonzero(score >= self.threshold) if located else ():
