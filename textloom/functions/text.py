@@ -32,11 +32,8 @@ def words(text: Column, stop: tuple[str, ...] = ()) -> Column:
 
 
 def stem(word: Column) -> Column:
-    """Strips the first suffix that leaves more than two letters."""
-    out = word
-    for s in reversed(K.SUFFIXES):
-        out = F.when((F.length(word) > len(s) + 2) & word.endswith(s), word.substr(F.lit(1), F.length(word) - len(s))).otherwise(out)
-    return out
+    """Strips the longest suffix that leaves more than two letters: the shortest head of three or more whose rest is one."""
+    return F.regexp_replace(word, f"^(.{{3,}}?)(?:{'|'.join(K.SUFFIXES)})$", "$1")
 
 
 def squeeze(text: Column) -> Column:
