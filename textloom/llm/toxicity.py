@@ -102,7 +102,7 @@ def marginals(e: np.ndarray, of: np.ndarray, trans: np.ndarray) -> tuple[np.ndar
     p0, p1 = laid(psi[0], 1), laid(psi[1], 1)
     first = np.zeros(n, bool)
     first[of[:-1][np.diff(of) > 0]] = True
-    first = laid(first, False) > 0
+    first = laid(first, True) > 0  # what fills the last block tells nothing of the last document either
     a00, a01, a10, a11 = (np.where(first, 1.0, x) * p for x, p in ((t[0, 0], p0), (t[0, 1], p1), (t[1, 0], p0), (t[1, 1], p1)))
     m00, m01, m10, m11 = np.ones(m), np.zeros(m), np.zeros(m), np.ones(m)
     for j in range(block):
