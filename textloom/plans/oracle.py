@@ -86,11 +86,11 @@ CTES: dict[str, tuple[str, str]] = {
       FROM (SELECT * FROM res WHERE NOT {EXTERNAL} AND NOT {PLACEHOLDER} AND resolved <> path AND resolved NOT IN (SELECT path FROM docs)) r JOIN docs d ON regexp_extract(d.path, '([^/]*)$', 1) = regexp_extract(resolved, '([^/]*)$', 1)"""),
     "adrx": ("", r"SELECT lpad(n::INTEGER::VARCHAR, greatest(3, length(n::INTEGER::VARCHAR))::INTEGER, '0') AS normalized_id, max(path) AS adr_path FROM (SELECT path, regexp_extract(path, 'ADR[-_]?(\d{2,4})', 1) AS n FROM docs WHERE contains(lower(path), '/adr/') OR contains(lower(path), 'adr-')) WHERE n <> '' GROUP BY 1"),
     "edges": ("inner_res spans adr adrx", f"""
-      SELECT path AS source, resolved AS target, 'links_to' AS kind, anchor, NULL AS src_heading, NULL AS src_line, NULL AS tgt_heading, NULL AS tgt_line, NULL AS raw_text FROM inner_res WHERE resolved <> path AND regexp_matches(lower(resolved), '\\.(md|txt|rst)$')
-      UNION SELECT i.path, resolved, 'section_links_to', anchor, s.heading, s.line_start, t.heading, t.line_start, NULL FROM inner_res i JOIN spans s ON s.path = i.path AND i.line BETWEEN s.line_start AND s.line_end
+      SELECT path AS source, resolved AS target, 'links_to' AS kind, anchor, NULL::VARCHAR AS src_heading, NULL::INTEGER AS src_line, NULL::VARCHAR AS tgt_heading, NULL::INTEGER AS tgt_line, NULL::VARCHAR AS raw_text FROM inner_res WHERE resolved <> path AND regexp_matches(lower(resolved), '\\.(md|txt|rst)$')
+      UNION SELECT i.path, resolved, 'section_links_to', anchor, s.heading, s.line_start, t.heading, t.line_start, NULL::VARCHAR FROM inner_res i JOIN spans s ON s.path = i.path AND i.line BETWEEN s.line_start AND s.line_end
         LEFT JOIN spans t ON t.path = resolved AND t.line_start = (SELECT min(line_start) FROM spans u WHERE u.path = resolved AND contains({SLUGKEY.format('u.heading')}, {SLUGKEY.format('anchor')}))
         WHERE resolved <> i.path AND regexp_matches(lower(resolved), '\\.(md|txt|rst)$')
-      UNION SELECT a.path, adr_path, 'adr_reference', NULL, s.heading, s.line_start, NULL, NULL, raw_text FROM adr a JOIN adrx USING (normalized_id) LEFT JOIN spans s ON s.path = a.path AND a.line BETWEEN s.line_start AND s.line_end WHERE adr_path <> a.path"""),
+      UNION SELECT a.path, adr_path, 'adr_reference', NULL::VARCHAR, s.heading, s.line_start, NULL::VARCHAR, NULL::INTEGER, raw_text FROM adr a JOIN adrx USING (normalized_id) LEFT JOIN spans s ON s.path = a.path AND a.line BETWEEN s.line_start AND s.line_end WHERE adr_path <> a.path"""),
     "q": ("", f"SELECT pos, word, {stem('word')} AS term FROM (SELECT row_number() OVER (ORDER BY min(i)) - 1 AS pos, word FROM (SELECT unnest(range(len(l))) AS i, lower(unnest(l)) AS word FROM (SELECT regexp_extract_all(text, '{K.WORD}') AS l FROM benchmark WHERE item_id = 0)) WHERE length(word) >= 3 AND word NOT IN {_in(K.QUERY_STOP)} GROUP BY word) WHERE pos < 5 UNION ALL SELECT 5, '{ABSENT}', '{ABSENT}'"),
     "bm": ("tf idf lens q", f"SELECT path, sum(idf * tf * {K.K1 + 1}::DOUBLE / (tf + {K.K1}::DOUBLE * ({1 - K.B}::DOUBLE + {K.B}::DOUBLE * doc_length / (SELECT avg(doc_length) FROM lens)))) AS score FROM q JOIN tf USING (term) JOIN idf USING (term) JOIN lens USING (path) GROUP BY path"),
     "shin": ("", f"SELECT path, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT path, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT path, {SHINGLE.format('content')} AS w FROM docs))"),
@@ -164,7 +164,7 @@ def _paths(depth: int) -> str:
 
 
 def _metrics_extra() -> str:
-    return "ranked AS (SELECT b.item_id AS question_id, d.doc_id AS path, row_number() OVER (PARTITION BY b.item_id ORDER BY (b.item_id * 31 + d.doc_id * 17) % 101, d.doc_id) AS rank FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 = 3) d WHERE (b.item_id + d.doc_id) % 3 = 0), rel AS (SELECT b.item_id AS question_id, d.doc_id AS path FROM benchmark b CROSS JOIN (SELECT doc_id FROM documents WHERE doc_id % 10 = 3) d WHERE (b.item_id * 7 + d.doc_id) % 11 = 0), ks AS (SELECT unnest([5, 10]) AS k), base AS (SELECT s.question_id, k, n_rel, first FROM (SELECT question_id, count(*) AS n_rel FROM rel GROUP BY 1) s CROSS JOIN ks LEFT JOIN (SELECT question_id, min(rank) AS first FROM ranked JOIN rel USING (question_id, path) GROUP BY 1) f USING (question_id)), gain AS (SELECT question_id, k, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN rel USING (question_id, path) JOIN ks ON rank <= k GROUP BY 1, 2)"
+    return "ranked AS (SELECT coalesce(source, '') AS question_id, doc_id AS path, row_number() OVER (PARTITION BY coalesce(source, '') ORDER BY n_chars DESC, doc_id) AS rank FROM documents), rel AS (SELECT DISTINCT coalesce(d.source, '') AS question_id, d.doc_id AS path FROM documents d JOIN labels l USING (doc_id) WHERE l.quality = 1), ks AS (SELECT unnest([5, 10]) AS k), base AS (SELECT s.question_id, k, n_rel, first FROM (SELECT question_id, count(*) AS n_rel FROM rel GROUP BY 1) s CROSS JOIN ks LEFT JOIN (SELECT question_id, min(rank) AS first FROM ranked JOIN rel USING (question_id, path) GROUP BY 1) f USING (question_id)), gain AS (SELECT question_id, k, count(*) AS hits, sum(1 / log2(rank + 1)) AS dcg FROM ranked JOIN rel USING (question_id, path) JOIN ks ON rank <= k GROUP BY 1, 2)"
 
 
 ORACLE: dict[str, str] = {

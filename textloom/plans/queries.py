@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .. import constants as K
@@ -63,14 +64,11 @@ def _stale(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    items = table(spark, d, "benchmark").select(F.col("item_id").alias("question_id"))
-    some = table(spark, d, "documents").where("doc_id % 10 = 3").select(F.col("doc_id").alias("path"))
-    both = items.crossJoin(some)
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("question_id").orderBy(F.expr("(question_id * 31 + path * 17) % 101"), "path")
-    ranked = both.where("(question_id + path) % 3 = 0").withColumn("rank", F.row_number().over(w))
-    return evaluation.ranking_metrics(ranked, both.where("(question_id * 7 + path) % 11 = 0"))
+    """How well length ranks the documents of each source that are labelled good."""
+    docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("question_id"), F.col("doc_id").alias("path"), "n_chars")
+    ranked = docs.withColumn("rank", F.row_number().over(W.partitionBy("question_id").orderBy(F.desc("n_chars"), "path")))
+    good = table(spark, d, "labels").where("quality = 1").select(F.col("doc_id").alias("path"))
+    return evaluation.ranking_metrics(ranked, docs.join(good, "path"))
 
 
 def _budget(spark: SparkSession, d: str) -> DataFrame:
