@@ -60,7 +60,8 @@ def raw_corpus(documents: DataFrame) -> DataFrame:
 def markdown_corpus(documents: DataFrame) -> DataFrame:
     """path, content, doc_id."""
     body = f"array_join(transform(split(coalesce(text, ''), '\\n', -1), (x, i) -> {line_sql('x', 'i', 'doc_id')}), chr(10))"
-    return documents.select(F.expr(path_sql("doc_id")).alias("path"), F.expr(f"{front_sql('doc_id')} || {body}").alias("content"), "doc_id")
+    # a generator of one row: what reads content many times doesn't write its expression out as often
+    return documents.select(F.expr(path_sql("doc_id")).alias("path"), F.explode(F.array(F.expr(f"{front_sql('doc_id')} || {body}"))).alias("content"), "doc_id")
 
 
 RAW_CTE = f"docs AS (SELECT {path_sql('doc_id')} AS path, coalesce(text, '') AS content, doc_id FROM documents)"
