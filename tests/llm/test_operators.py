@@ -142,6 +142,14 @@ def test_line_runs_against_all_runs(spark):
         assert want != [t for _, t, _ in rows]
 
 
+def test_a_line_that_repeats_alone_is_a_run(spark):
+    rows = [(0, "only", "s"), (1, "a0\nboiler\nb0", "s"), (2, "only", "s"), (3, "a1\n boiler\nb1", "s"), (4, "a2\nboiler\nboiler", "s")]
+    got = {r.doc_id: r for r in line_dedup.report(make(spark, rows)).collect()}
+    assert [got[d].text for d in range(5)] == ["only", "a0\nboiler\nb0", "", "a1\nb1", "a2"]
+    assert [got[d].text for d in range(5)] == line_dedup.brute_force([(d, t) for d, t, _ in rows])
+    assert [got[d].lines_deleted for d in range(5)] == [0, 0, 1, 1, 2]
+
+
 def test_contamination_against_aligning_everything(spark, corpus):
     rng = random.Random(9)
     items = [(i, prose(rng, 30, 5000)) for i in range(6)]
