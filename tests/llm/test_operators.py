@@ -57,6 +57,23 @@ def test_html_template_and_content(spark):
     assert {r.content for r in html_extract.contents(df).collect()} == {g[0] for g in got}
 
 
+def test_html_repeats_count_once_and_varying_slots_are_content(spark):
+    page = lambda i, who="x": f"<body><nav>Home</nav><div><p>by {who}<p>Article number {i}</div><footer>All rights</footer></body>"
+    want = ["by a\nArticle number 0", "by a\nArticle number 0", "by b\nArticle number 1"]
+    assert [g[0] for g in html_extract.extract([page(0, "a"), page(0, "a"), page(1, "b")])] == want
+    assert html_extract.extract([page(0)] * 2) == html_extract.extract([page(0)]) * 2
+    pages = [page(i, "abc"[i % 3]) for i in range(30)]
+    assert [g[0] for g in html_extract.extract(pages)] == [f"by {'abc'[i % 3]}\nArticle number {i}" for i in range(30)]
+    # two templates on one host
+    two = [p.replace("Home", "Start<b>Shop</b>").replace("All rights", "Imprint") if i % 2 else p for i, p in enumerate(pages)]
+    assert [g[0] for g in html_extract.extract(two)] == [f"by {'abc'[i % 3]}\nArticle number {i}" for i in range(30)][:0] + [g[0] for g in html_extract.extract(pages)]
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(two)] + [(None, "http://h.example/", two[0])], "page_id long, url string, html string")
+    for block in (256, 12):
+        once = {(r.page_id, r.content) for r in html_extract.contents(df, block).collect()}
+        again = [(r.page_id, r.content) for r in html_extract.contents(df.union(df), block).collect()]
+        assert set(again) == once and len(again) == 2 * len(once) == 62 and (None, "by a\nArticle number 0") in once
+
+
 def test_simple_tree_matching_against_all_mappings():
     rng = random.Random(1)
 

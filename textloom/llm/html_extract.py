@@ -3,17 +3,20 @@
 Pages of one host are parsed to trees and aligned with one of them, the one of median size,
 by simple tree matching: the largest mapping that keeps tags, parents and the order of
 siblings.  Text of aligned places is a slot; what aligns with nothing, as in a longer list, shares a
-slot with what has the same tags from the root on.  A slot whose texts are mostly the same few in
-all pages is part of the host's template; a slot that varies is content.
+slot with what has the same tags from the root on.  A slot's text that is the same, or nearly
+(all but `varies` of the pages), on all pages of a template is part of that template; all else is content.
 
-A host's pages are dealt by hash into blocks of about `block` pages, each with a wrapper of its own, so
+A host may have several templates.  A page's template is the largest set of pages on which two or more of its
+texts stand in their slots together, or all of the host's pages, if any text is on all of them.  A text that merely repeats, as an
+author's name does, is content.
+
+A host's distinct pages are dealt by hash into blocks of about `block`, each with a wrapper of its own, so
 the largest host is no single task.  A page that has its block to itself can't be aligned:
 its text outside of nav, header, footer and aside is the content.
 
 Defined results: a null or empty html gives an empty content; a null or odd url belongs to host '';
 markup that isn't closed is closed where HTML does; very deep nesting is cut to `DEEPEST`
-levels (deeper elements become siblings); repeated pages are aligned like others, a repeat
-counts as one text in a slot; extra columns are ignored.
+levels (deeper elements become siblings); equal pages of a host count once and get the same result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 
 from ._util import own
 
-BLOCK, VARIES, DEEPEST = 256, 0.5, 60
+BLOCK, VARIES, DEEPEST = 256, 0.1, 60
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|textarea)\b[^>]*>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*\"|'[^']*'|[^'\">])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S | re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -193,8 +196,26 @@ def _content(parts: list[tuple[Node, int, bool, str]]) -> str:
     return "\n".join(" ".join(x) for x in lines)
 
 
+def _template(masks: list[int], n: int, varies: float) -> int:
+    """The pages of a page's template, as bits, from those on which each of its texts stands; 0 if it has none."""
+    best = 0
+    for m in set(masks):
+        size = m.bit_count()
+        if size < 2 or size <= best.bit_count() and (size, m) <= (best.bit_count(), best):
+            continue
+        if size >= (1 - varies) * n or sum((m & x).bit_count() >= (1 - varies) * (m | x).bit_count() for x in masks) >= 2:
+            best = m
+    return best
+
+
 def extract(pages: list[str | None], varies: float = VARIES) -> list[tuple[str, int, int]]:
-    """content, template_nodes, content_nodes of each of one host's pages."""
+    """content, template_nodes, content_nodes of each of one host's pages; equal pages count once."""
+    distinct = list(dict.fromkeys(p or "" for p in pages))
+    done = dict(zip(distinct, _extract(distinct, varies)))
+    return [done[p or ""] for p in pages]
+
+
+def _extract(pages: list[str], varies: float) -> list[tuple[str, int, int]]:
     trees = [parse(p) for p in pages]
     if len(trees) == 1:
         t = texts(trees[0])
@@ -202,22 +223,23 @@ def extract(pages: list[str | None], varies: float = VARIES) -> list[tuple[str,
         return [(_content(keep), len(t) - len(keep), len(keep))]
     sizes = [t.size for t in trees]
     ref = int(np.argsort(sizes, kind="stable")[(len(sizes) - 1) // 2])
-    slots: dict[int | str, Counter] = {}
+    on: dict[tuple[int | str, str], int] = {}
     listed = [texts(t) for t in trees]
-    places: list[list[int | str]] = []
+    places: list[list[tuple[int | str, str]]] = []
     for i, t in enumerate(trees):
         m: dict[int, int] = {}
         if i == ref:
             m = {id(n): id(n) for n, *_ in listed[i]}
         else:
             align(trees[ref], t, {}, m)
-        places.append([m.get(id(n), path) for n, _, _, path in listed[i]])
-        for (n, *_), place in zip(listed[i], places[i]):
-            slots.setdefault(place, Counter())[n.text] += 1
-    fixed = {s for s, c in slots.items() if (n := sum(c.values())) >= 2 and (len(c) - 1) / (n - 1) <= varies}
+        places.append([(m.get(id(n), path), n.text) for n, _, _, path in listed[i]])
+        for place in places[i]:
+            on[place] = on.get(place, 0) | 1 << i
     out = []
     for t, at in zip(listed, places):
-        keep = [x for x, place in zip(t, at) if place not in fixed]
+        own_template = _template([on[x] for x in set(at) if on[x].bit_count() > 1], len(trees), varies)
+        least = max(2, (1 - varies) * own_template.bit_count())
+        keep = [x for x, place in zip(t, at) if (on[place] & own_template).bit_count() < least]
         out.append((_content(keep), len(t) - len(keep), len(keep)))
     return out
 
@@ -225,15 +247,19 @@ def extract(pages: list[str | None], varies: float = VARIES) -> list[tuple[str,
 def contents(pages: DataFrame, block: int = BLOCK, varies: float = VARIES) -> DataFrame:
     """page_id, host, content, template_nodes, content_nodes of every page."""
     host = F.lower(F.coalesce(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1), F.lit("")))
-    base = own(pages, "page_id", "url", "html").withColumn("host", host).drop("url")
-    large = base.groupBy("host").agg(F.count("*").alias("n")).where(F.col("n") > block)
-    # the hosts of more than a block are few: Spark broadcasts them if they are small, and shuffles if not
-    dealt = base.join(large, "host", "left").withColumn("block", F.when(F.col("n").isNull(), 0).otherwise(F.pmod(F.xxhash64("page_id"), F.ceil(F.col("n") / block)))).drop("n")
+    base = own(pages, "page_id", "url", "html").select(F.col("page_id").cast("long").alias("page_id"), F.coalesce("html", F.lit("")).alias("html"), host.alias("host")).withColumn("key", F.xxhash64("html"))
+    large = base.groupBy("host").agg(F.count_distinct("key").alias("n")).where(F.col("n") > block)
+    # the hosts of more than a block are at most one for each `block` pages
+    dealt = base.join(F.broadcast(large), "host", "left").withColumn("block", F.when(F.col("n").isNull(), 0).otherwise(F.pmod("key", F.ceil(F.col("n") / block))))
+    # one shuffle serves both: equal pages become one, and a block's pages come together
+    once = dealt.repartition("host", "block").groupBy("host", "block", "html").agg(F.min("page_id").alias("page_id"), F.collect_list("page_id").alias("ids"), F.count_if(F.col("page_id").isNull()).alias("nulls"))
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.assign(key=p["html"].fillna("")).sort_values(["page_id", "key"], kind="stable")
-        done = extract([None if pd.isna(x) else x for x in p["html"]], varies)
+        p = p.sort_values(["page_id", "html"], kind="stable")
+        done = extract(p["html"].tolist(), varies)
         out = pd.DataFrame(done, columns=["content", "template_nodes", "content_nodes"], index=p.index)
-        return pd.concat([p[["page_id", "host"]], out], axis=1)
+        return pd.concat([p[["host", "ids", "nulls"]], out], axis=1)
 
-    return dealt.groupBy("host", "block").applyInPandas(run, "page_id long, host string, content string, template_nodes int, content_nodes int")
+    found = once.groupBy("host", "block").applyInPandas(run, "host string, ids array<long>, nulls long, content string, template_nodes int, content_nodes int")
+    ids = F.concat("ids", F.array_repeat(F.lit(None).cast("long"), F.col("nulls").cast("int")))
+    return found.select(F.explode(ids).alias("page_id"), "host", "content", "template_nodes", "content_nodes")
