@@ -180,6 +180,17 @@ def test_contamination_against_aligning_everything(spark, corpus):
     assert {r.doc_id for r in decontam.drop_contaminated(make(spark, docs), bench).collect()} == {d for d, _, _ in docs} - {100, 101, 102}
 
 
+def test_half_an_item_in_more_than_a_thousand_documents_is_found(spark):
+    rng = random.Random(11)
+    item = " ".join(f"q{i}" for i in range(40)).split()
+    # both halves are in more than 1000 documents, the second in fewer: its seeds are the rarer half
+    docs = [(i, f"{prose(rng, 5)} {' '.join(item[:24])} {prose(rng, 5)}", "s") for i in range(1300)]
+    docs += [(i, f"{prose(rng, 5)} {' '.join(item[16:])} {prose(rng, 5)}", "s") for i in range(1300, 2400)]
+    bench = spark.createDataFrame([(0, " ".join(item))], "item_id long, text string")
+    got = {r.doc_id for r in decontam.contaminated(make(spark, docs), bench).collect()}
+    assert got == {d for d, _, _ in docs}
+
+
 def test_chat_round_trip_and_mask(spark):
     turns = [(1, 1, "assistant", "Hi <|end|> there"), (1, 0, "user", "Hello <|start|>"), (1, 2, "user", None), (2, 0, "narrator", "x"), (2, 1, None, "é <\\|x")]
     df = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")

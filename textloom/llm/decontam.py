@@ -1,10 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words.
 
-Seeds are runs of `n` words that a document shares with a test item.  Of each item's seeds
-those count that are in at most `rare` documents, and always the rarer half of them, so an
-item that is copied everywhere keeps its seeds.  Around each cluster of seeds the document's
+Seeds are runs of `n` words that a document shares with a test item; every one counts, however
+many documents it is in.  Around each cluster of seeds the document's
 words (with a margin of the longest item on both sides) are aligned with the item's;
 the score of the best local alignment, divided by that of the item with itself, must reach `threshold`.
+A region that lacks too many of the item's words to reach it isn't aligned: each word of the item adds at most a match.
 
 One pass over the documents: a bit map of the items' seeds, of fixed size whatever
 the benchmark's, lets few other runs through; the exact join is a shuffle join on the seed.
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ._tokens import grams, slices, words
 from ._util import discard, fresh, materialize, own
 
-N, RARE, THRESHOLD = 4, 1000, 0.5
+N, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
 BITS = 1 << 23
 
@@ -142,25 +142,16 @@ def align(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, *span
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: int = RARE, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, node, item_id, score, first_word, last_word of the document's best passage for each item found."""
     items = materialize(items_of(own(benchmark, "item_id", "text"), n))
     longest = items.agg(F.max("size")).first()[0] or 0
     seeds = items.select("item_id", F.explode("seeds").alias("seed"))
     found = materialize(regions(docs, bit_map(seeds.select("seed")), n, longest))
-    hits = found.select("doc_id", "node", "at", F.explode("seeds").alias("seed"))
-    df = hits.join(seeds.select("seed").distinct(), "seed", "left_semi").groupBy("seed").agg(F.count_distinct("node").alias("df"))
-    w = W.partitionBy("item_id")
-    good = (
-        seeds.join(df, "seed")
-        .withColumn("nth", F.row_number().over(w.orderBy("df", "seed")))
-        .withColumn("of", F.count("*").over(w))
-        .where((F.col("df") <= rare) | (F.col("nth") <= (F.col("of") + 1) / 2))
-        .select("seed", "item_id")
-    )
-    pairs = hits.join(good, "seed").select("doc_id", "node", "at", "item_id").distinct()
+    hits = found.select("node", "at", F.explode("seeds").alias("seed"))
+    pairs = hits.join(seeds.select("seed", "item_id").distinct(), "seed").select("node", "at", "item_id")
     # equal documents are aligned once
-    one = pairs.groupBy("node", "at", "item_id").agg(F.lit(1).alias("x")).drop("x")
+    one = pairs.distinct()
     texts = found.select("node", "at", "region").dropDuplicates(["node", "at"])
     full = one.join(texts, ["node", "at"]).join(items.select("item_id", "item").distinct(), "item_id")
 
@@ -169,6 +160,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, n: int = N, rare: int =
             out = []
             for r in p.itertuples():
                 a, b = np.frombuffer(r.item, "<u4"), np.frombuffer(r.region, "<u4")
+                if np.isin(a, b).sum() < threshold * len(a):
+                    continue
                 s, lo, hi = align(a, b)
                 out.append((r.node, r.item_id, s / (MATCH * len(a)), r.at + lo, r.at + hi))
             yield pd.DataFrame(out, columns=["node", "item_id", "score", "first_word", "last_word"])
