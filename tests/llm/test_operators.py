@@ -249,6 +249,15 @@ def test_apportionment_is_sainte_lague(spark):
     assert got.groupby("source")["quota"].first().to_dict() == quota
 
 
+def test_mixture_reports_the_share_reached_beside_the_target(spark):
+    rows = [(i, "w " * 10, "src0") for i in range(80)] + [(100 + i, "w " * 10, "src1") for i in range(19)] + [(200, "w " * 50, "src1"), (300, "w", "src2")]
+    got = {r.source: r for r in mixing.mixture(make(spark, rows), {"src0": 1.0, "src2": 0.0}, share=0.9, block_tokens=10).collect()}
+    assert {s: r.target for s, r in got.items()} == {"src0": 0.5, "src1": 0.5, "src2": 0.0}
+    seats = {s: mixing.allocate(make(spark, rows), {"src0": 1.0, "src2": 0.0}, share=0.9, block_tokens=10).where(F.col("source") == s).select("shard", "block").distinct().count() for s in ("src0", "src1")}
+    assert abs(got["src0"].seat_share - seats["src0"] / sum(seats.values())) < 1e-9 and got["src0"].seat_share > 0.7
+    assert got["src1"].token_share > got["src1"].seat_share and got["src1"].kept == 1 and got["src2"].kept == 0
+
+
 def test_marginals_against_all_labellings():
     rng = np.random.default_rng(1)
     e, trans = rng.normal(size=9) * 2, rng.normal(size=4)

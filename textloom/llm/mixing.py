@@ -10,6 +10,10 @@ source can't fill goes to the others by the same quotients.  Ties go to the sour
 
 A shard is of bounded size however large the corpus or a source, and so is each window.
 
+With a large `share` most blocks are seated whatever the weights, so the mix can stay far from its targets, and a document
+longer than a block takes one seat, so blocks can hold more tokens than `block_tokens`: mixture() gives, for each
+source, its target beside the share it gets, in seats and in tokens.
+
 A token is a run of characters other than space, tab, line feed and carriage return.
 
 Defined results: a null source is a source of its own, under the name ''; sources without a weight have
@@ -73,6 +77,20 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     return docs.withColumn(key, F.xxhash64("doc_id", "source", "text")).join(chosen.hint("shuffle_hash"), key, "left_semi").drop(key)
 
 
+def mixture(docs: DataFrame, weights: dict[str, float] = WEIGHTS, other: float = OTHER, **params) -> DataFrame:
+    """source, target, seat_share, token_share, kept: what each source of docs should have of the mix, has in seats and in tokens, and the share of its own tokens that stays."""
+    every = docs.select(F.coalesce("source", F.lit("")).alias("source"), F.coalesce(F.regexp_count("text", F.lit("[^ \\t\\n\\r]+")), F.lit(0)).cast("long").alias("n_tokens")).groupBy("source").agg(F.sum("n_tokens").alias("had"))
+    chosen = allocate(docs, weights, other, **params)
+    # a seat is a block, of one row or many
+    seats = chosen.groupBy("source").agg(F.count_distinct("shard", "block").alias("seats"), F.sum("n_tokens").alias("tokens"))
+    weight = F.lit(float(other))
+    for s, v in weights.items():
+        weight = F.when(F.col("source") == s, float(v)).otherwise(weight)
+    joined = every.join(seats, "source", "left").withColumn("weight", F.greatest(weight, F.lit(0.0)))
+    share = lambda c: F.coalesce(F.col(c) / F.sum(c).over(W.partitionBy()), F.lit(0.0))  # noqa: E731 - one row a source
+    return joined.select("source", share("weight").alias("target"), share("seats").alias("seat_share"), share("tokens").alias("token_share"), F.coalesce(F.col("tokens") / F.nullif("had", F.lit(0)), F.lit(0.0)).alias("kept"))
+
+
 def sql(weights: dict[str, float] = WEIGHTS, other: float = OTHER, share: float = SHARE, block_tokens: int = BLOCK, shard_tokens: int = SHARD, seed: int = SEED, table: str = "documents") -> str:
     case = "CASE source " + " ".join(f"WHEN '{s}' THEN {float(v)}::DOUBLE" for s, v in weights.items()) + f" ELSE {float(other)}::DOUBLE END"
     return f"""
