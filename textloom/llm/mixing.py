@@ -18,7 +18,7 @@ A token is a run of characters other than space, tab, line feed and carriage ret
 
 Defined results: a null source is a source of its own, under the name ''; sources without a weight have
 `other`; a weight of 0 or less excludes a source; null and empty texts have 0 tokens and go
-with the block they fall in; a null doc_id hashes as ''; of equal rows all are kept if any is;
+with the block they fall in; a text longer than a block takes the one seat of its first token's block, whatever it runs through; a null doc_id hashes as ''; of equal rows all are kept if any is;
 extra columns are carried along by mix_documents().
 """
 
