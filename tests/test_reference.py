@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as T
 from textloom.operators import evaluation, search
 from textloom.plans.oracle import ORACLE
-from textloom.plans.queries import QUERIES
+from textloom.plans.queries import QUERIES, raw
 
 SF = "/root/testdata/sf0.001"
 CHECKED = ("bm25_topk", "idf", "doc_terms", "postings_count", "query_diagnostics", "ranking_metrics", "canonicality", "headings", "links", "edges", "inbound_counts", "exact_dupes", "budget_prefix", "dedupe_content")
@@ -36,6 +36,17 @@ def test_words_and_query():
     assert phrases == [["async", "migration"]] and len(words) == 3
 
 
+def test_every_benchmark_item_is_asked(spark):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet").collect()
+    got = {}
+    for r in QUERIES["bm25_topk_all"](spark, SF).collect():
+        got.setdefault(r.query_id, {})[r.path] = r.score
+    assert set(got) == {i.item_id for i in items if search.words_py(i.text or "")} and len(got) > 1
+    for item in items[:: max(1, len(items) // 3)]:
+        one_by_one = {r.path: r.score for r in search.bm25_topk(raw(spark, SF), search.words_py(item.text)).collect()}
+        assert got[item.item_id] == pytest.approx(one_by_one, abs=2e-6)
+
+
 def test_ranking_metrics(spark):
     ranked = spark.createDataFrame([("q", p, i + 1) for i, p in enumerate("abcde")], "question_id string, path string, rank int")
     relevant = spark.createDataFrame([("q", "a"), ("q", "c")], "question_id string, path string")

@@ -83,6 +83,7 @@ def _refined(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES |= {
     "bm25_topk": asked(raw, search.bm25_topk),
+    "bm25_topk_all": lambda s, d: search.bm25_topk_all(raw(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), "text")),
     "term_freq": over(raw, index.term_freq),
     "doc_length": over(raw, index.doc_length),
     "corpus_stats": rounded(over(raw, index.corpus_stats), "avg_doc_length"),
