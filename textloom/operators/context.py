@@ -209,7 +209,7 @@ def crossrefs(docs: DataFrame, primary: DataFrame, budget: int, per_doc: int = 6
         out["rank"] = range(len(out))
         return out[["path", "heading", "line_start", "line_end", "content", "tokens", "rank"]]
 
-    return s.groupBy(F.lit(1)).applyInPandas(fold, "path string, heading string, line_start int, line_end int, content string, tokens long, rank long")
+    return s.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "path string, heading string, line_start int, line_end int, content string, tokens long, rank long")
 
 
 def ranked_sections(docs: DataFrame, words: list[str], limit: int) -> DataFrame:
@@ -228,7 +228,7 @@ def assemble(docs: DataFrame, question: str, max_tokens: int = 8000, max_section
         more = crossrefs(docs, first, xref).select("path", "heading", "line_start", "line_end", "content", (F.col("rank") + 1_000_000).alias("rank"))
         all_ = all_.unionByName(more)
     schema = "path string, heading string, line_start int, line_end int, content string, rank long"
-    unique = all_.groupBy(F.lit(1)).applyInPandas(lambda p: fold_dedupe(p), schema)
+    unique = all_.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda p: fold_dedupe(p.drop(columns="one")), schema)
     cut = refined(unique, words, max_tokens // max(1, n))
     sized = cut.withColumn("tokens", T.tokens_estimate(F.col("content")))
     return budget_prefix(sized, max_tokens).select("rank", "path", "heading", "line_start", "line_end", "content", "tokens", "truncated", "reasons")
@@ -281,7 +281,7 @@ def search_context(docs: DataFrame, query: str, max_results: int = 5, max_tokens
             out.append((r.path, r.heading, r.line_start, r.line_end, r.content, r.rank, handle(query, r.path, r.heading, r.line_start, r.line_end, r.content), text, cut1 or cut2, ",".join(dict.fromkeys(why1 + why2))))
         return pd.DataFrame(out, columns=["path", "heading", "line_start", "line_end", "content", "rank", "handle", "preview", "truncated", "reasons"])
 
-    return first.groupBy(F.lit(1)).applyInPandas(run, schema)
+    return first.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(run, schema)
 
 
 def fetch_context(store: DataFrame, name: str, max_tokens: int = 4000, max_bytes: int = 20000) -> dict:

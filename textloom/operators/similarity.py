@@ -205,7 +205,7 @@ def section_clusters(docs: DataFrame, threshold: float = 0.7, least: int = 2) ->
                 sim.append(1.0)
         return p.assign(leader=lead, similarity=sim)[["path", "heading", "line_start", "leader", "similarity"]]
 
-    c = f.select("path", "heading", "line_start", "sim_lo", "sim_hi").groupBy(F.lit(1)).applyInPandas(fold, "path string, heading string, line_start int, leader long, similarity double")
+    c = f.select("path", "heading", "line_start", "sim_lo", "sim_hi").withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "path string, heading string, line_start int, leader long, similarity double")
     w = W.partitionBy("leader")
     size = c.withColumn("sections", F.count("*").over(w)).withColumn("distinct_files", F.size(F.collect_set("path").over(w))).withColumn("cluster", F.first("heading").over(w.orderBy("path", "line_start")))
     return size.where(F.col("sections") >= least).select("leader", "cluster", "sections", "distinct_files", "path", "line_start", F.round("similarity", 6).alias("similarity"))
