@@ -66,33 +66,70 @@ def test_html_repeats_count_once_and_varying_slots_are_content(spark):
     assert [g[0] for g in html_extract.extract(pages)] == [f"by {'abc'[i % 3]}\nArticle number {i}" for i in range(30)]
     # two templates on one host
     two = [p.replace("Home", "Start<b>Shop</b>").replace("All rights", "Imprint") if i % 2 else p for i, p in enumerate(pages)]
-    assert [g[0] for g in html_extract.extract(two)] == [f"by {'abc'[i % 3]}\nArticle number {i}" for i in range(30)][:0] + [g[0] for g in html_extract.extract(pages)]
+    assert [g[0] for g in html_extract.extract(two)] == [g[0] for g in html_extract.extract(pages)]
     df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(two)] + [(None, "http://h.example/", two[0])], "page_id long, url string, html string")
-    for block in (256, 12):
-        once = {(r.page_id, r.content) for r in html_extract.contents(df, block).collect()}
-        again = [(r.page_id, r.content) for r in html_extract.contents(df.union(df), block).collect()]
+    for limit in (html_extract.LIMIT, 0):  # wrappers broadcast, or sorted before the parts of a host
+        once = {(r.page_id, r.content) for r in html_extract.contents(df, limit=limit, salted=4).collect()}
+        again = [(r.page_id, r.content) for r in html_extract.contents(df.union(df), limit=limit, salted=4).collect()]
         assert set(again) == once and len(again) == 2 * len(once) == 62 and (None, "by a\nArticle number 0") in once
 
 
+def test_html_near_copies_keep_their_article():
+    page = lambda nav, body: f"<body><nav><a>{nav} one</a><a>{nav} two</a></nav><div><p>{body}<p>more of {body}</div><footer>All rights</footer></body>"
+    copies = [page(f"n{i}", "the same article") for i in range(4)]
+    for pages in (copies[:2], copies, copies + [page("n9", f"article {i}") for i in range(12)]):
+        assert html_extract.extract(pages)[0][0].endswith("the same article\nmore of the same article")
+
+
+def test_html_rows_against_plain_sets_of_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    odd_ones = [(10_000 + i, "http://odd.example/", h) for i, h in enumerate([None, "", "<p>a<p>b", "<ul><li>a<li>b</ul>", "<p>a<p>b", "x</div>"])]
+    pages = pages.select("page_id", "url", "html").union(spark.createDataFrame(odd_ones, "page_id long, url string, html string")).union(pages.select("page_id", "url", "html").where("page_id % 7 = 0"))
+    row = lambda r: (r.page_id, r.content, r.template_nodes, r.content_nodes)
+    got = [html_extract.contents(pages, limit=limit, salted=8).collect() for limit in (html_extract.LIMIT, 0)]
+    assert sorted(map(row, got[0])) == sorted(map(row, got[1]))
+    host = {r.page_id: r.host for r in got[0]}
+    by: dict = {}
+    for p in pages.collect():
+        by.setdefault(host[p.page_id], []).append(p)
+    want = [(p.page_id, *w) for ps in by.values() for p, w in zip(ps, html_extract.extract([p.html for p in ps]))]
+    assert sorted(map(row, got[0])) == sorted(want) and any(r.template_nodes > 1 for r in got[0])
+
+
+def test_html_of_any_depth_and_width_is_aligned():
+    assert [g[0] for g in html_extract.extract(["<div>" * 3000 + "x", "<div>" * 2900 + "y"])] == ["x", "y"]
+    rng = random.Random(2)
+    wide = lambda k: "".join(rng.choice(["<p>{}</p>", "<ul><li>{}</ul>", "<h2>{}</h2>"]).format(f"{k} {i}") for i in range(1500))
+    got = html_extract.extract([f"<nav>Home</nav>{wide(k)}<footer>End</footer>" for k in range(3)])
+    assert [(a, b) for _, a, b in got] == [(2, 1500)] * 3
+    # by halves or as one table, a mapping of the same size
+    w = np.array([[3, 0], [1, 2]])
+    a, b = (np.array([rng.randrange(2) for _ in range(n)]) for n in (400, 300))
+    pairs = html_extract._pairs(w, a, b)
+    assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:]))
+    assert sum(w[a[i], b[j]] for i, j in pairs) == html_extract._row(w, a, b)[-1]
+
+
 def test_simple_tree_matching_against_all_mappings():
     rng = random.Random(1)
 
     def tree(depth):
         return f"<{(t := rng.choice(['div', 'b']))}>" + "".join(tree(depth - 1) for _ in range(rng.randrange(3)) if depth) + f"</{t}>"
 
-    def brute(a, b):
-        if a.tag != b.tag:
+    def brute(s, t, a=0, b=0):
+        if s.tag[a] != t.tag[b]:
             return 0
-        best = 0
-        for k in range(min(len(a.kids), len(b.kids)) + 1):
-            for x in itertools.combinations(a.kids, k):
-                for y in itertools.combinations(b.kids, k):
-                    best = max(best, sum(s if (s := brute(p, q)) else -99 for p, q in zip(x, y)))
+        p, q, best = s.kids[a], t.kids[b], 0
+        for k in range(min(len(p), len(q)) + 1):
+            for x in itertools.combinations(p, k):
+                for y in itertools.combinations(q, k):
+                    best = max(best, sum(v if (v := brute(s, t, *two)) else -99 for two in zip(x, y)))
         return 1 + best
 
     for _ in range(40):
         a, b = html_extract.parse(tree(3)), html_extract.parse(tree(3))
-        assert html_extract.match(a, b, {}) == brute(a, b)
+        aligner = html_extract.Aligner(a)
+        assert aligner.match(aligner.cls[0], aligner.classes(b)[0]) == brute(a, b)
 
 
 def test_minhash_groups_against_all_pairs(spark, corpus):
