@@ -1,7 +1,9 @@
 """Each operator against a brute-force version, SQL, a round trip or held-out labels; then the odd inputs."""
 
 import itertools
+import math
 import random
+import re
 
 import duckdb
 import numpy as np
@@ -307,6 +309,59 @@ def test_marginals_against_all_labellings():
             assert abs(p[a + i] - sum(w for y, w in weight.items() if y[i]) / sum(weight.values())) < 1e-9
 
 
+def plain_score(text, m):
+    """Score and offsets by one recursion over a text's words, in plain Python; the levels alone come from the operator's tables."""
+    arr = pa.array([text], pa.string())
+    w = toxicity.words(arr)
+    lv = toxicity._levels(w, toxicity.Scorer(m).lexicon)
+    spans = [x.span() for x in re.finditer(r"(?:[0-9A-Za-z_]|[^\x00-\xbf\u2000-\u207f\u3000-\u303f])+", text.lower())]
+    assert len(spans) == lv.shape[1]
+    theta, t = m["theta"], [[m["trans"][0], m["trans"][1]], [m["trans"][2], m["trans"][3]]]
+    e = [theta[0] + sum(theta[1 + r * toxicity.LEVELS + int(v) - 1] for r, v in enumerate(col) if v) for col in lv.T]
+    emit = [[1.0, math.exp(x)] for x in e]
+    alpha, beta = [], []
+    for i, p in enumerate(emit):
+        a = p if not i else [p[y] * sum(alpha[-1][x] * math.exp(t[x][y]) for x in (0, 1)) for y in (0, 1)]
+        alpha.append([v / sum(a) for v in a])
+    for i in range(len(emit) - 1, -1, -1):
+        b = [1.0, 1.0] if not beta else [sum(math.exp(t[x][y]) * emit[i + 1][y] * beta[-1][y] for y in (0, 1)) for x in (0, 1)]
+        beta.append([v / sum(b) for v in b])
+    p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(alpha, beta[::-1])]
+    return sum(p), [(*s, q) for s, q in zip(spans, p) if q >= 0.5]
+
+
+def test_toxic_rows_against_plain_recursion(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.model(docs, labels)
+    some = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é 漢字 – x\u3001y " * 50)], "doc_id long, text string"))
+    got = {r.doc_id: r for r in toxicity.score(some, m).collect()}
+    toxic = 0
+    for r in some.collect():
+        score, spans = plain_score(r.text or "", m)
+        g = got[r.doc_id]
+        assert abs(g.score - score) < 1e-6 * max(1, score) and g.toxic == (score >= m["threshold"])
+        assert [(x.start, x.end) for x in g.spans or []] == ([x[:2] for x in spans] if g.toxic else [])
+        toxic += g.toxic
+    assert toxic > 20
+
+
+def test_gradient_is_that_of_the_likelihood():
+    rng = np.random.default_rng(4)
+    lv, y = rng.integers(0, toxicity.LEVELS + 1, (toxicity._KINDS, 12)).astype(np.int8), rng.integers(0, 2, 12).astype(float)
+    of, w = np.array([0, 7, 7, 12]), rng.normal(size=toxicity._N + 4) / 2
+
+    def log_likelihood(w):
+        e, t = toxicity._emissions(lv, w[: toxicity._N]), w[toxicity._N :]
+        weigh = lambda lab, a: sum(e[a + i] * v for i, v in enumerate(lab)) + sum(t[int(2 * u + v)] for u, v in zip(lab, lab[1:]))
+        return sum(weigh(y[a:z], a) - np.log(sum(np.exp(weigh(lab, a)) for lab in itertools.product((0, 1), repeat=z - a))) for a, z in zip(of, of[1:]))
+
+    g = toxicity._gradient(lv, y, of, w[: toxicity._N], w[toxicity._N :])
+    for i in range(len(w)):
+        d = np.zeros(len(w))
+        d[i] = 1e-5
+        assert abs((log_likelihood(w + d) - log_likelihood(w - d)) / 2e-5 - g[i]) < 1e-4
+
+
 def test_toxicity_on_held_out_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     m = toxicity.model(docs, labels.where("doc_id % 2 = 0"))

@@ -1,19 +1,28 @@
 """Toxic spans: a linear-chain conditional random field over words, and what it says of documents.
 
-Labelled tokens come from the labelled documents.  A word or a beginning of words counts as
+Labels are of documents, so those of tokens are made from them.  A word or a beginning of words counts as
 offending if it stands in many different contexts (pairs of neighbours) in toxic documents
 and hardly any in clean ones; contexts, not documents, because copies of one toxic document
-repeat all its harmless words too, and only the first of near copies is used.  The CRF (labels clean and toxic) is fitted to these
-labelled tokens by gradient ascent on the log-likelihood; forward-backward marginals of every
-token give the offsets of words whose marginal is at least one half, and their sum, the
-expected number of toxic words among them, is the document's score.
+repeat all its harmless words too, and only the first of near copies is used.  How strongly it does so is its
+level, kept in a lexicon; the levels of a token's word and of its beginnings are the field's features.
+
+A token's label never comes from what its features come from: the labelled documents are dealt into two halves, each with a
+lexicon of its own; a token of a toxic document is labelled toxic by the top level in the lexicon of its own half, and
+its features are looked up in the other half's.  So the field learns how far evidence found elsewhere is to be
+trusted, for a word, for a beginning of words and beside a neighbour that is toxic.  It is fitted to every token of
+these documents, by gradient ascent on the log-likelihood.  The threshold is where F1 of the documents is best, each scored by the other
+half's lexicon (the highest such score of equals).
+
+Applied, the lexicon is that of both halves together.  The sum of the forward-backward marginals of all of a document's
+tokens, the expected number of toxic words, is its score, and words whose marginal is at least one half (`SPAN`) are its offending offsets.
 
 The fit uses at most `max_docs` labelled documents of each class, the ones with the smallest
-hash of doc_id; everything else covers every word of every document.
+hash of doc_id (of these, doc_id and the text's md5 where it repeats); everything else covers every word of every document.
 
-Defined results: a null or empty text scores 0; without a toxic and a clean labelled document
+Defined results: a null or empty text scores 0; without a toxic and a clean labelled document in both halves
 nothing is toxic; labels with nulls are left out; conflicting or repeated labels of one
-doc_id count as toxic if any is; repeated documents score alike; extra columns are carried along.
+doc_id count as toxic if any is; repeated documents score alike; very long texts are read whole, one at a time; an empty table
+gives no rows; extra columns are carried along.  doc_id must be a number or a text of one.
 """
 
 from __future__ import annotations
@@ -146,8 +155,8 @@ def posterior(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
 
 
 def document_scores(p: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Sum of the marginals of at least SPAN: the rest, tiny each, would grow with a text's length."""
-    total = np.concatenate([[0.0], np.cumsum(np.where(p >= SPAN, p, 0))])
+    """Sum of each document's marginals."""
+    total = np.concatenate([[0.0], np.cumsum(p)])
     return total[of[1:]] - total[of[:-1]]
 
 
@@ -183,21 +192,13 @@ def _without_copies(texts: list[str], toxic: np.ndarray) -> tuple[list[str], np.
     return [texts[i] for i in keep], toxic[keep]
 
 
-def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, least: int = 3) -> dict:
-    """The model as plain lists: lexicon, weights, transitions and the document threshold."""
-    empty = {"lexicon": [[[], []]] * _KINDS, "theta": [-10.0] + [0.0] * (_N - 1), "trans": [0.0] * 4, "threshold": 1e9}
-    if not toxic.any() or toxic.all():
-        return empty
-    texts, toxic = _without_copies(texts, toxic)
-    if not toxic.any() or toxic.all():
-        return empty
-    arr = pa.array(texts, pa.string())
-    cuts = list(slices(arr))
+def _lexicon(arr: pa.Array, toxic: np.ndarray, least: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys with a level over 1 of each kind, and their levels."""
     tokens = {True: 0, False: 0}
     lexicon = []
     for kind in range(_KINDS):  # one kind at a time: only its keys are in memory
         seen: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
-        for i, j in cuts:
+        for i, j in slices(arr):
             w = words(arr[i:j])
             k, inside = _key(w, kind), w.doc_of()
             bad = toxic[i:j][inside]
@@ -220,30 +221,45 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, least: int = 3) -
         # log of the ratio of rates, with the clean rate never under half a context
         ratio = np.log((a + 0.5) / max(tokens[True], 1)) - np.log((b + 0.5) / max(tokens[False], 1))
         # how far the toxic share is from the tokens' share, in standard deviations of chance
-        share = tokens[True] / (tokens[True] + tokens[False])
+        share = min(max(tokens[True] / max(1, tokens[True] + tokens[False]), 1e-9), 1 - 1e-9)
         sure = (a - share * (a + b)) / np.sqrt(share * (1 - share) * (a + b))
         level = np.where((ratio >= np.log(20)) & (sure >= (8 if kind else 6)), 4, np.where((ratio >= np.log(20)) & (sure >= 4), 3, np.where((ratio >= np.log(5)) & (sure >= 3), 2, 1)))
         good = level > 1
         lexicon.append((u[good], level[good].astype(np.int8)))
-    feats, labels, offs, own_offsets, base = [], [], [np.zeros(1, np.int64)], [], 0
-    for i, j in cuts:
-        w = words(arr[i:j])
-        lv = _levels(w, lexicon)
-        feats.append(lv)
-        labels.append((lv == 4).any(axis=0) & np.repeat(toxic[i:j], w.lengths()))
-        own_offsets.append(w.of)
-        offs.append(w.of[1:] + base)
-        base += w.of[-1]
-    y, of = np.concatenate(labels), np.concatenate(offs)
-    if not y.any():
+    return lexicon
+
+
+def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, least: int = 3) -> dict:
+    """The model as plain lists: lexicon, weights, transitions and the document threshold."""
+    empty = {"lexicon": [[[], []]] * _KINDS, "theta": [-10.0] + [0.0] * (_N - 1), "trans": [0.0] * 4, "threshold": 1e9}
+    if not toxic.any() or toxic.all():
+        return empty
+    texts, toxic = _without_copies(texts, toxic)
+    # alternate documents of each class
+    half = np.zeros(len(texts), int)
+    for c in (True, False):
+        half[toxic == c] = np.arange((toxic == c).sum()) % 2
+    parts = [(pa.array([x for x, g in zip(texts, half) if g == h], pa.string()), toxic[half == h]) for h in (0, 1)]
+    if any(not t.any() or t.all() for _, t in parts):
+        return empty
+    lexicons = [_lexicon(a, t, least) for a, t in parts]
+    data, slice_of = [], []
+    for h, (arr, bad) in enumerate(parts):
+        for i, j in slices(arr):
+            w = words(arr[i:j])
+            y = (_levels(w, lexicons[h]) == 4).any(axis=0) & np.repeat(bad[i:j], w.lengths())
+            if len(y):
+                data.append((_levels(w, lexicons[1 - h]), y, w.of))
+                slice_of.append(bad[i:j])
+    if not any(y.any() for _, y, _ in data):
         return empty
-    theta, trans = _train(np.concatenate(feats, axis=1), y, of, rounds)
-    score = np.concatenate([document_scores(_marginal(x, o, theta, trans), o) for x, o in zip(feats, own_offsets)])
+    theta, trans = _train(data, rounds)
+    score = np.concatenate([document_scores(_marginal(x, o, theta, trans), o) for x, _, o in data])
     return {
-        "lexicon": [[[int(x) for x in a], [int(x) for x in b]] for a, b in lexicon],
+        "lexicon": [[[int(x) for x in a], [int(x) for x in b]] for a, b in _lexicon(pa.array(texts, pa.string()), toxic, least)],
         "theta": theta.tolist(),
         "trans": trans.tolist(),
-        "threshold": _threshold(score, toxic),
+        "threshold": _threshold(score, np.concatenate(slice_of)),
     }
 
 
@@ -254,45 +270,34 @@ def _marginal(lv: np.ndarray, of: np.ndarray, theta: np.ndarray, trans: np.ndarr
     return posterior(alpha, beta)
 
 
-def _train(lv: np.ndarray, y: np.ndarray, of: np.ndarray, rounds: int) -> tuple[np.ndarray, np.ndarray]:
-    """Gradient ascent (Adam) on the penalised log-likelihood.
-
-    Tokens without evidence far from any with it add nothing but the bias; documents are cut
-    to windows of 3 tokens around evidence, besides the first 5000 tokens."""
-    n = lv.shape[1]
-    doc = np.repeat(np.arange(len(of) - 1), np.diff(of))
-    near = np.flatnonzero(lv.any(axis=0) | y)
-    mark = np.zeros(n + 8, np.int32)
-    np.add.at(mark, np.maximum(near - 3, 0), 1)
-    np.add.at(mark, near + 4, -1)
-    take = np.cumsum(mark)[:n] > 0
-    take[: min(n, 5000)] = True
-    idx = np.flatnonzero(take)
-    cut = np.flatnonzero((np.diff(idx) > 1) | (np.diff(doc[idx]) > 0)) + 1
-    o = np.concatenate([[0], cut, [len(idx)]])
-    lv, y = lv[:, idx], y[idx].astype(float)
-    x = np.zeros((_N, len(idx)), np.float32)
-    x[0] = 1
+def _gradient(lv: np.ndarray, y: np.ndarray, of: np.ndarray, theta: np.ndarray, trans: np.ndarray) -> np.ndarray:
+    """Of the log-likelihood of labels y, by weight: what is there less what is expected."""
+    alpha, beta, t, psi = marginals(_emissions(lv, theta), of, trans)
+    off = y - posterior(alpha, beta)
+    g = np.zeros(_N + 4)
+    g[0] = off.sum()
     for r in range(_KINDS):
-        for level in range(1, LEVELS + 1):
-            x[r * LEVELS + level] = lv[r] == level
-    inside = np.ones(len(idx), bool)
-    inside[o[:-1]] = False
+        g[1 + r * LEVELS : 1 + (r + 1) * LEVELS] = np.bincount(lv[r], off, LEVELS + 1)[1:]
+    inside = np.ones(len(y), bool)
+    inside[of[:-1][np.diff(of) > 0]] = False
     j = np.flatnonzero(inside)
-    yi = y.astype(int)
-    theta, trans = np.zeros(_N), np.zeros(4)
-    theta[0] = -3
-    w = np.concatenate([theta, trans])
+    if len(j):
+        yi = y.astype(np.int64)
+        right = psi[:, j] * beta[:, j]
+        pair = [alpha[a, j - 1] * t[a, b] * right[b] for a in (0, 1) for b in (0, 1)]
+        whole = pair[0] + pair[1] + pair[2] + pair[3]
+        g[_N:] = np.bincount(yi[j - 1] * 2 + yi[j], minlength=4) - [(p / whole).sum() for p in pair]
+    return g
+
+
+def _train(data: list[tuple[np.ndarray, np.ndarray, np.ndarray]], rounds: int) -> tuple[np.ndarray, np.ndarray]:
+    """Gradient ascent (Adam) on the penalised log-likelihood of every token, slice by slice."""
+    n = sum(len(y) for _, y, _ in data)
+    w = np.zeros(_N + 4)
+    w[0] = -3
     mom, var = np.zeros_like(w), np.zeros_like(w)
     for step in range(1, rounds + 1):
-        theta, trans = w[:_N], w[_N:]
-        alpha, beta, t, psi = marginals(_emissions(lv, theta), o, trans)
-        p = posterior(alpha, beta)
-        g = np.concatenate([x @ (y - p), np.zeros(4)])
-        pair = alpha[:, j - 1][:, None] * t[:, :, None] * (psi[:, j] * beta[:, j])[None]
-        pair /= pair.sum(axis=(0, 1))
-        g[_N:] = np.bincount(yi[j - 1] * 2 + yi[j], minlength=4) - pair.sum(axis=2).ravel()
-        g = g / len(idx) - 1e-5 * w
+        g = sum(_gradient(lv, y.astype(float), of, w[:_N], w[_N:]) for lv, y, of in data) / n - 1e-5 * w
         mom = 0.9 * mom + 0.1 * g
         var = 0.99 * var + 0.01 * g * g
         w = w + 0.3 * (mom / (1 - 0.9**step)) / (np.sqrt(var / (1 - 0.99**step)) + 1e-8)
@@ -316,7 +321,10 @@ def model(docs: DataFrame, labels: DataFrame, max_docs: int = MAX_DOCS) -> dict:
     h = F.xxhash64("doc_id")
     picked = lab.where("toxic = 1").orderBy(h, "doc_id").limit(max_docs).union(lab.where("toxic = 0").orderBy(h, "doc_id").limit(max_docs))
     # at most 2 * max_docs rows: what is sent to every executor doesn't grow with the data
-    rows = own(docs, "doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id").select("text", "toxic")
+    known = own(docs, "doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
+    # nor does what one task fits, however often a doc_id repeats
+    first = [h, "doc_id", F.md5("text")]
+    rows = known.where("toxic = 1").orderBy(*first).limit(max_docs).union(known.where("toxic = 0").orderBy(*first).limit(max_docs)).select("text", "toxic")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         got = [p for p in parts if len(p)]
