@@ -244,6 +244,23 @@ def test_chat_round_trip_and_mask(spark):
         assert chat_format.unescape(chat_format.escape(s)) == s and "<|" not in chat_format.escape(s)
 
 
+def test_chats_against_a_token_at_a_time(spark):
+    known = spark.read.parquet("/root/testdata/sf0.01/conversations.parquet").select("conv_id", "turn", "role", "text")
+    extra = [(-1, None, None, None), (-1, 2, "assistant", "<|end|> a"), (-1, 2, "assistant", "<|end|> a"), (-1, 2, "assistant", "b"), (-1, 1, "odd <|x|>", ""), (-2, 0, "assistant", "z " * 30_000)]
+    df = known.union(spark.createDataFrame(extra, known.schema))
+    by: dict = {}
+    for r in df.collect():
+        by.setdefault(r.conv_id, []).append((r.turn, r.role, r.text))
+    got = {r.conv_id: r for r in chat_format.chats(df).collect()}
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        assert (got[c].input_ids, got[c].loss_mask) == chat_format.brute_force(turns)
+        assert (got[c].n_turns, got[c].n_tokens, got[c].n_trained) == (len(turns), len(got[c].input_ids), sum(got[c].loss_mask))
+    # long conversations come in parts; turns without a conversation each on their own
+    parts = chat_format.chats(spark.createDataFrame([(5, i, "user", f"t{i}") for i in range(10)] + [(None, 0, "user", "a")] * 3, known.schema), span=4).collect()
+    assert sorted((r.part, r.n_turns) for r in parts if r.conv_id == 5) == [(0, 4), (1, 4), (2, 2)] and sum(r.conv_id is None for r in parts) == 3
+
+
 def test_quality_on_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in quality_rules.keep_good(docs).collect()}
