@@ -64,6 +64,16 @@ def resolve(source: Column, target: Column) -> Column:
     return F.when(t == "", source).when(t.startswith("/"), normal_path(t)).otherwise(normal_path(F.concat(parent(source), F.lit("/"), t)))
 
 
+def relative(source: Column, target: Column) -> Column:
+    """How a document names another from its own folder: up out of what they don't share, then down."""
+    a = F.when(parent(source) == "", F.array().cast("array<string>")).otherwise(F.split(parent(source), "/"))
+    b = F.split(target, "/")
+    some = F.least(F.size(a), F.size(b) - 1)
+    same = lambda acc, i: F.when((acc == i) & (F.get(a, i) == F.get(b, i)), acc + 1).otherwise(acc)
+    n = F.when(some > 0, F.aggregate(F.sequence(F.lit(0), F.greatest(some - 1, F.lit(0))), F.lit(0), same)).otherwise(0)
+    return F.concat(F.repeat(F.lit("../"), F.size(a) - n), F.array_join(F.slice(b, n + 1, F.size(b) - n), "/"))
+
+
 def before_anchor(target: Column) -> Column:
     return F.regexp_extract(target, "^([^#]*)", 1)
 

@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
-from . import graph, search, structure
+from . import graph, index, search, structure
+from .iterate import cut
 
 MARKER = " ...[truncated]"
 
@@ -182,34 +183,90 @@ def picked_sections(docs: DataFrame, targets: DataFrame) -> DataFrame:
     return s.where(ok).withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= most).select("path", "heading", "line_start", "line_end", "content", "refs", "nth", rank.alias("type_rank"))
 
 
-def crossrefs(docs: DataFrame, primary: DataFrame, budget: int, per_doc: int = 600) -> DataFrame:
-    """Sections that the primary documents' links lead to, in order of kind, number of references and path, within the budgets.
+_SECTION = "path string, heading string, line_start int, line_end int, content string"
 
+
+def references(docs: DataFrame, sections: DataFrame) -> DataFrame:
+    """origin, target, anchor of what some sections (path, content, ..) refer to: their links to texts, images aside, and decision records."""
+    rx = r"(!?)\[([^\]]+)\]\(([^)]+)\)"
+    found = F.arrays_zip(*[F.regexp_extract_all("content", F.lit(rx), F.lit(i)).alias(n) for i, n in ((1, "image"), (3, "target"))])
+    link = sections.select("path", F.explode(found).alias("x")).select("path", "x.*").where((F.col("image") == "") & ~T.is_external(F.col("target")))
+    link = link.select(F.col("path").alias("origin"), T.resolve(F.col("path"), F.col("target")).alias("target"), T.anchor(F.col("target")).alias("anchor"))
+    link = link.where(F.lower("target").rlike(r"\.(md|txt|rst)$"))
+    adr = index.adr_refs(sections.select("path", "content")).join(graph.adr_index(docs), "normalized_id")
+    return link.union(adr.select(F.col("path").alias("origin"), F.col("adr_path").alias("target"), F.lit(None).cast("string").alias("anchor"))).distinct()
+
+
+def crossrefs(docs: DataFrame, primary: DataFrame, budget: int, per_doc: int = 600, by_graph: bool = False) -> DataFrame:
+    """Sections that the primary ones (path, content, ..) refer to, within the budgets: in order of kind, number of references and path.
+
+    by_graph takes the edges of the primary documents instead, in order of their number and path.
     The budget left depends on all that was taken before: a fold over the few rows, by one task."""
-    e = graph.edges(docs).join(primary.select(F.col("path").alias("source")).distinct(), "source", "left_semi")
-    e = e.join(primary.select(F.col("path").alias("target")).distinct(), "target", "left_anti")
+    own = primary.select("path").distinct()
+    if by_graph:
+        e = graph.edges(docs).join(F.broadcast(own.withColumnRenamed("path", "source")), "source", "left_semi").select(F.col("source").alias("origin"), "target", "anchor")
+    else:
+        e = references(docs, primary)
+    e = e.join(F.broadcast(own.withColumnRenamed("path", "target")), "target", "left_anti")
     targets = e.groupBy(F.col("target").alias("path")).agg(F.count("*").alias("refs"), F.min("anchor").alias("anchor"))
     s = picked_sections(docs, targets).withColumn("tokens", T.tokens_estimate(F.col("content")))
 
     def fold(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values(["type_rank", "refs", "path", "nth"], ascending=[True, False, True, True])
-        left, keep, used, stopped = budget, [], {}, set()
-        for i, r in enumerate(p.itertuples()):
-            if left == 0:
-                break
-            if r.path in stopped:
-                continue
-            if used.get(r.path, 0) + r.tokens > per_doc or left < r.tokens:
-                stopped.add(r.path)
-                continue
-            used[r.path] = used.get(r.path, 0) + r.tokens
-            left -= r.tokens
-            keep.append(i)
-        out = p.iloc[keep].copy()
-        out["rank"] = range(len(out))
-        return out[["path", "heading", "line_start", "line_end", "content", "tokens", "rank"]]
-
-    return s.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, "path string, heading string, line_start int, line_end int, content string, tokens long, rank long")
+        return fold_budget(p, budget, per_doc, by_graph)
+
+    # at most a few sections of each document that some 20 sections refer to
+    return s.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(fold, f"{_SECTION}, tokens long, rank long")
+
+
+def fold_budget(p: pd.DataFrame, budget: int, per_doc: int, by_graph: bool = False) -> pd.DataFrame:
+    """Sections in order as long as the budgets last; a document stops at its first section that is too much."""
+    by = ["refs", "path", "nth"] if by_graph else ["type_rank", "refs", "path", "nth"]
+    p = p.sort_values(by, ascending=[c != "refs" for c in by])
+    left, keep, used, stopped = budget, [], {}, set()
+    for i, r in enumerate(p.itertuples()):
+        if left == 0:
+            break
+        if r.path in stopped:
+            continue
+        if used.get(r.path, 0) + r.tokens > per_doc or left < r.tokens:
+            stopped.add(r.path)
+            continue
+        used[r.path] = used.get(r.path, 0) + r.tokens
+        left -= r.tokens
+        keep.append(i)
+    out = p.iloc[keep].copy()
+    out["rank"] = range(len(out))
+    return out[["path", "heading", "line_start", "line_end", "content", "tokens", "rank"]]
+
+
+class SelectionError(ValueError):
+    """Why a selection has no sections: missing_files, no_indexed_files, no_searchable_terms or no_relevant_sections."""
+
+    def __init__(self, kind: str, detail: object = None):
+        super().__init__(f"{kind}: {detail}" if detail else kind)
+        self.kind, self.detail = kind, detail
+
+
+def select_sections(docs: DataFrame, question: str, limit: int, files: list[str] | None = None, source_root: str = "") -> DataFrame:
+    """rank, path, heading, line_start, line_end, content, bm25, canonicality, combined: the sections for a question, or those of some files."""
+    words, _ = search.parse_query(question)
+    if files:
+        found = graph.resolve_path(docs, files, source_root).orderBy("pos").collect()  # as many rows as files were named
+        missing = [r.asked for r in found if r.path is None]
+        if missing:
+            raise SelectionError("missing_files", missing)
+        if not found:
+            raise SelectionError("no_indexed_files")
+        best = search.file_sections(docs, sorted({r.path for r in found}), words, limit)
+    else:
+        if not words:
+            raise SelectionError("no_searchable_terms")
+        best = search.sections_ranked(docs, words, limit)
+    w = W.orderBy(F.desc("combined"), "path", "line_start", "line_end", "heading")  # over limit rows
+    out = cut(best.withColumn("rank", F.row_number().over(w)))
+    if out.isEmpty():
+        raise SelectionError("no_relevant_sections", question.strip() or "selected files")
+    return out
 
 
 def ranked_sections(docs: DataFrame, words: list[str], limit: int) -> DataFrame:
@@ -217,30 +274,55 @@ def ranked_sections(docs: DataFrame, words: list[str], limit: int) -> DataFrame:
     return search.sections_ranked(docs, words, limit).withColumn("rank", F.row_number().over(w))
 
 
-def assemble(docs: DataFrame, question: str, max_tokens: int = 8000, max_sections: int = 20, depth: int = 1) -> DataFrame:
-    """rank, path, heading, content, tokens, truncated: a digest of the corpus for a question, within max_tokens."""
-    words, _ = search.parse_query(question)
-    first = ranked_sections(docs, words, max_sections).select("path", "heading", "line_start", "line_end", "content", "combined", "rank").persist()
+def gathered(docs: DataFrame, first: DataFrame, max_tokens: int, depth: int, by_graph: bool) -> tuple[DataFrame, int]:
+    """A selection and what it refers to, in order of rank; and how many sections the selection has."""
     n, spent = first.agg(F.count("*"), F.coalesce(F.sum(T.tokens_estimate(F.col("content"))), F.lit(0))).first()
-    all_ = first.select("path", "heading", "line_start", "line_end", "content", "rank")
+    cols = ["path", "heading", "line_start", "line_end", "content", "rank", "bm25", "canonicality"]
+    out = first.select(*cols)
     xref = crossref_budget(max_tokens, spent, depth)
     if xref:
-        more = crossrefs(docs, first, xref).select("path", "heading", "line_start", "line_end", "content", (F.col("rank") + 1_000_000).alias("rank"))
-        all_ = all_.unionByName(more)
-    schema = "path string, heading string, line_start int, line_end int, content string, rank long"
-    unique = all_.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda p: fold_dedupe(p.drop(columns="one")), schema)
-    cut = refined(unique, words, max_tokens // max(1, n))
-    sized = cut.withColumn("tokens", T.tokens_estimate(F.col("content")))
-    return budget_prefix(sized, max_tokens).select("rank", "path", "heading", "line_start", "line_end", "content", "tokens", "truncated", "reasons")
-
-
-def digest(rows: list[dict], question: str) -> str:
-    """The rows of assemble() as Markdown."""
-    docs = list(dict.fromkeys(r["path"] for r in rows))[:10]
-    out = [f"# Context: {question}", "", "## Documents", *[f"- {d}" for d in docs], ""]
+        more = crossrefs(docs, first, xref, by_graph=by_graph).withColumn("rank", (F.col("rank") + 1_000_000).cast("int")).withColumn("bm25", F.lit(0.0)).withColumn("canonicality", T.canonicality(F.col("path")))
+        out = out.unionByName(more.select(*cols))
+    return out, n
+
+
+def assemble(docs: DataFrame, question: str, max_tokens: int = 8000, max_sections: int = 20, depth: int = 1, by_graph: bool = False, files: list[str] | None = None, dedupe: bool = True) -> DataFrame:
+    """rank, path, heading, content, tokens, truncated ..: sections for a question and what they refer to, refined, within max_tokens."""
+    words, _ = search.parse_query(question)
+    all_, _ = gathered(docs, select_sections(docs, question, max_sections, files), max_tokens, depth, by_graph)
+    if dedupe:
+        schema = f"{_SECTION}, rank int, bm25 double, canonicality double"
+        all_ = all_.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda p: fold_dedupe(p.drop(columns="one")), schema)
+    all_ = cut(all_)
+    cap = max_tokens // max(1, all_.count())
+    sized = refined(all_, words, cap).withColumn("tokens", T.tokens_estimate(F.col("content")))
+    return budget_prefix(sized, max_tokens).select("rank", "path", "heading", "line_start", "line_end", "content", "tokens", "truncated", "reasons", "bm25", "canonicality")
+
+
+def digest(rows: list, question: str, max_tokens: int = 8000) -> str:
+    """The rows of assemble() as Markdown within about max_tokens: the documents, the sections, the last one cut if over 200 characters of it fit."""
+    groups: dict[str, list] = {}
+    for r in rows:
+        groups.setdefault(r["path"], []).append(r)
+    weight = lambda r: 0.7 * r["bm25"] + 0.3 * r["canonicality"]
+    best = sorted(groups.items(), key=lambda g: (-weight(g[1][0]), g[0]))[:10]
+    out = [f"# Context for: {question}", "", f"At most {max_tokens} tokens, {len(rows)} sections.", "", "## Documents", ""]
+    out += [f"{i}. {path}: score {weight(g[0]):.2f}, authority {g[0]['canonicality']:.2f}, sections {len(g)}" for i, (path, g) in enumerate(best, 1)]
+    out += ["", "## Sections", ""]
+    used = len("\n".join(out).encode()) // 4
     for r in rows:
-        out += [f"## {r['heading']} ({r['path']}:{r['line_start']}-{r['line_end']})", "", r["content"], ""]
-    return "\n".join([*out, f"{len(rows)} sections, about {sum(r['tokens'] for r in rows)} tokens"])
+        head = f"### {r['heading']} ({r['path']}:{r['line_start']}-{r['line_end']})\n"
+        need = (len(head.encode()) + len(r["content"].encode())) // 4
+        if used + need > max_tokens:
+            room = 4 * max(0, max_tokens - used)
+            if room > 200:
+                out += [head, r["content"].encode()[:room].decode(errors="ignore"), "", "(cut here)"]
+            else:
+                out.append("(the rest is over the budget)")
+            break
+        out += [head, r["content"], ""]
+        used += need
+    return "\n".join([*out, "", f"About {used} tokens. Answer from these sections alone, and say what they don't tell."])
 
 
 # --- bounded search and fetch -----------------------------------------------------------

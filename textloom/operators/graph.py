@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 from . import index, structure
+from .iterate import cut
 
 
+@stored
 def resolved_links(docs: DataFrame) -> DataFrame:
     """links with resolved (the path meant) and anchor, without external ones."""
     l = index.links(docs).where(~T.is_external(F.col("target")))
@@ -21,10 +24,13 @@ def inner_links(docs: DataFrame) -> DataFrame:
     return resolved_links(docs).join(docs.select(F.col("path").alias("resolved")), "resolved", "left_semi")
 
 
-def _with_section(links: DataFrame, spans: DataFrame) -> DataFrame:
-    """links with the section that their line is in: an equi-join on the path, then the range."""
-    s = spans.select(F.col("path").alias("p"), F.col("heading").alias("src_heading"), F.col("line_start").alias("src_line"), "line_end")
-    return links.join(s, (F.col("path") == F.col("p")) & (F.col("line") >= F.col("src_line")) & (F.col("line") <= F.col("line_end")))
+def _with_section(rows: DataFrame, spans: DataFrame) -> DataFrame:
+    """rows (path, line, ..) with src_heading and src_line of the section that their line is in, or nulls: the last heading before it."""
+    marks = spans.select("path", F.col("line_start").alias("line"), F.struct(F.col("heading").alias("src_heading"), F.col("line_start").alias("src_line")).alias("here"), F.lit(False).alias("asks"))
+    w = W.partitionBy("path").orderBy("line", "asks").rowsBetween(W.unboundedPreceding, W.currentRow)
+    both = rows.withColumn("asks", F.lit(True)).unionByName(marks, allowMissingColumns=True)
+    found = both.withColumn("here", F.last("here", ignorenulls=True).over(w)).where("asks")
+    return found.select(*rows.columns, "here.src_heading", "here.src_line")
 
 
 def adr_index(docs: DataFrame) -> DataFrame:
@@ -36,6 +42,7 @@ def adr_index(docs: DataFrame) -> DataFrame:
     return found.groupBy("normalized_id").agg(F.max("path").alias("adr_path"))
 
 
+@stored
 def edges(docs: DataFrame) -> DataFrame:
     """source, target, kind, anchor, src_heading, src_line, tgt_heading, tgt_line, raw_text; no document leads to itself."""
     spans = structure.spans(docs)
@@ -44,15 +51,35 @@ def edges(docs: DataFrame) -> DataFrame:
     plain = link.select(F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("links_to").alias("kind"), "anchor", null("string").alias("src_heading"), null("int").alias("src_line"), null("string").alias("tgt_heading"), null("int").alias("tgt_line"), null("string").alias("raw_text"))
     tgt = spans.select(F.col("path").alias("tp"), F.col("heading").alias("tgt_heading"), F.col("line_start").alias("tgt_line"))
     key = lambda c: F.replace(F.replace(F.lower(c), F.lit(" "), F.lit("-")), F.lit("_"), F.lit("-"))
-    placed = _with_section(link, spans).join(tgt, (F.col("resolved") == F.col("tp")) & key(F.col("tgt_heading")).contains(key(F.col("anchor"))), "left")
+    placed = _with_section(link, spans).where("src_line is not null").join(tgt, (F.col("resolved") == F.col("tp")) & key(F.col("tgt_heading")).contains(key(F.col("anchor"))), "left")
     w = W.partitionBy("path", "line", "nth").orderBy(F.col("tgt_line").asc_nulls_last())
     section = placed.withColumn("r", F.row_number().over(w)).where("r = 1").select(F.col("path").alias("source"), F.col("resolved").alias("target"), F.lit("section_links_to").alias("kind"), "anchor", "src_heading", "src_line", "tgt_heading", "tgt_line", null("string").alias("raw_text"))
     adr = index.adr_refs(docs).join(adr_index(docs), "normalized_id").where("adr_path <> path")
-    adr = adr.join(spans.select(F.col("path").alias("p"), F.col("heading").alias("src_heading"), F.col("line_start").alias("src_line"), "line_end"), (F.col("path") == F.col("p")) & F.col("line").between(F.col("src_line"), F.col("line_end")), "left")
+    adr = _with_section(adr, spans)
     adr = adr.select(F.col("path").alias("source"), F.col("adr_path").alias("target"), F.lit("adr_reference").alias("kind"), null("string").alias("anchor"), "src_heading", "src_line", null("string").alias("tgt_heading"), null("int").alias("tgt_line"), "raw_text")
     return plain.unionByName(section).unionByName(adr).distinct()
 
 
+def resolve_path(docs: DataFrame, asked: list[str], source_root: str = "") -> DataFrame:
+    """pos, asked, path: the document that each of a few written paths means, or null.
+
+    Tried in order: as written, without './', normalised, and below source_root; each also with './' in front."""
+    rows = []
+    for pos, a in enumerate(asked):
+        a = a.strip()
+        forms = [a, a.removeprefix("./")]
+        if source_root and a.startswith(source_root.rstrip("/") + "/"):
+            forms.append(a[len(source_root.rstrip("/")) + 1 :])
+        for i, x in enumerate(f for f in forms if f):
+            rows.append((pos, asked[pos], i, x))
+    q = docs.sparkSession.createDataFrame(rows, "pos int, asked string, nth int, form string")
+    tried = F.array("form", T.normal_path(F.col("form")), F.concat(F.lit("./"), F.regexp_replace("form", r"^(\./)+", "")))
+    each = q.select("pos", "asked", "nth", F.posexplode(tried).alias("way", "path"))
+    # a few rows for each path that was written
+    hit = docs.select("path").join(F.broadcast(each), "path").groupBy("pos").agg(F.min(F.struct("nth", "way", "path"))["path"].alias("path"))
+    return q.select("pos", "asked").distinct().join(hit, "pos", "left")
+
+
 def backlinks(docs: DataFrame, path: str) -> DataFrame:
     return resolved_links(docs).where(F.col("resolved") == path).select("path", "line", "text", "target")
 
@@ -87,7 +114,10 @@ def paths(docs: DataFrame, source: str, depth: int = 1, kind: str | None = None)
     e = edges(docs).select("source", "target", "kind").distinct()
     if kind:
         e = e.where(F.col("kind") == kind)
-    frontier, seen = docs.where(F.col("path") == source).select(F.col("path").alias("source")), None
+    # the document of that path, or else the first whose path ends in it
+    exact = F.when(F.col("path") == source, 0).when(F.endswith("path", F.lit("/" + source.removeprefix("./"))), 1)
+    start = docs.select(F.struct(exact.alias("k"), "path").alias("x")).where("x.k is not null").agg(F.min("x").alias("x"))
+    frontier, seen = start.where("x is not null").select(F.col("x.path").alias("source")), None
     out = None
     for hop in range(min(max(depth, 1), 3)):
         step = e.join(frontier, "source", "left_semi").withColumn("hop", F.lit(hop + 1))
@@ -158,21 +188,30 @@ def stale(docs: DataFrame, as_of: Column, mtime: Column, days: int = 90, min_inl
     return age.join(inbound_counts(docs), "path").where((F.col("age_days") >= days) & (F.col("inbound") >= min_inlinks))
 
 
+def _lost(docs: DataFrame) -> DataFrame:
+    """resolved_links to no document, placeholders aside."""
+    lost = resolved_links(docs).where("resolved <> path").join(docs.select(F.col("path").alias("resolved")), "resolved", "left_anti")
+    return lost.where(~T.is_placeholder(F.col("target")))
+
+
 def link_fixes(docs: DataFrame) -> DataFrame:
     """path, line, nth, target, candidate, candidates: documents of the same file name, for each broken link to a document."""
-    lost = resolved_links(docs).where("resolved <> path").join(docs.select(F.col("path").alias("resolved")), "resolved", "left_anti")
     named = docs.select(F.col("path").alias("candidate"), T.base_name(F.col("path")).alias("name"))
-    pairs = lost.withColumn("name", T.base_name(F.col("resolved"))).where(~T.is_placeholder(F.col("target"))).join(named, "name")
+    pairs = _lost(docs).withColumn("name", T.base_name(F.col("resolved"))).join(named, "name")
     here = F.concat(T.parent(F.col("path")), F.lit("/"))
     shown = F.when((T.parent(F.col("path")) != "") & F.col("candidate").startswith(here), F.expr("substring(candidate, length(regexp_replace(path, '(^|/)[^/]*$', '')) + 2)")).otherwise(F.col("candidate"))
     out = pairs.withColumn("candidates", F.count("*").over(W.partitionBy("path", "line", "nth")))
     return out.select("path", "line", "nth", "target", shown.alias("candidate"), "candidates")
 
 
+def _anchored(path: Column) -> Column:
+    return F.concat(path, F.coalesce(F.concat(F.lit("#"), T.anchor(F.col("target"))), F.lit("")))
+
+
 def fixes(docs: DataFrame) -> DataFrame:
     """The links with one candidate, and what they become; the anchor stays."""
     f = link_fixes(docs).where("candidates = 1")
-    return f.select("path", "line", "nth", "target", F.concat("candidate", F.coalesce(F.concat(F.lit("#"), T.anchor(F.col("target"))), F.lit(""))).alias("replacement"))
+    return f.select("path", "line", "nth", "target", _anchored(F.col("candidate")).alias("replacement")).where("replacement <> target")
 
 
 def proposals(docs: DataFrame) -> DataFrame:
@@ -182,18 +221,40 @@ def proposals(docs: DataFrame) -> DataFrame:
 
 def apply_decisions(decided: DataFrame) -> DataFrame:
     """proposals with options and decision (a place in them) as fixes."""
-    return decided.where("decision is not null and decision >= 0 and decision < size(split(options, ','))").select("path", "line", "nth", "target", F.get(F.split("options", ","), F.col("decision").cast("int")).alias("replacement"))
-
-
-def rename_targets(renames: DataFrame) -> dict[str, str]:
-    """Old path to the newest one; a step must come later in the history than the one before.  A history is small."""
-    now: dict[str, str] = {}
-    for r in renames.orderBy("seq").collect():
-        for old, new in list(now.items()):
-            if new == r.old_path:
-                now[old] = r.new_path
-        now[r.old_path] = r.new_path
-    return now
+    return decided.where("decision is not null and decision >= 0 and decision < size(split(options, ','))").select("path", "line", "nth", "target", _anchored(F.get(F.split("options", ","), F.col("decision").cast("int"))).alias("replacement"))
+
+
+def rename_targets(renames: DataFrame) -> DataFrame:
+    """old_path, new_path: the newest path of each old one in renames (seq, old_path, new_path).
+
+    A step must come later in the history than the one before, and of several renames of a path the first counts, then the first after that step.
+    Chains are followed a step a round, each round a join, as long as any goes on; a history's longest chain is its number of rounds."""
+    all_ = renames.select("seq", "old_path", "new_path")
+    w = W.partitionBy("old_path").orderBy("seq")
+    now = cut(all_.withColumn("r", F.row_number().over(w)).where("r = 1").select("old_path", "new_path", "seq"))
+    while True:
+        later = all_.select(F.col("old_path").alias("new_path"), F.col("new_path").alias("n2"), F.col("seq").alias("s2"))
+        step = now.join(later, "new_path").where("s2 > seq").groupBy("old_path").agg(F.min(F.struct("s2", "n2")).alias("x"))
+        if step.isEmpty():
+            return now.select("old_path", "new_path")
+        now = cut(now.join(step, "old_path", "left").select("old_path", F.coalesce("x.n2", "new_path").alias("new_path"), F.coalesce("x.s2", "seq").alias("seq")))
+
+
+def renamed_fixes(docs: DataFrame, renames: DataFrame) -> DataFrame:
+    """path, line, nth, target, replacement: broken links for which no document has the name, by what became of the old path; the anchor stays."""
+    found = link_fixes(docs).select("path", "line", "nth")
+    lost = _lost(docs).join(found, ["path", "line", "nth"], "left_anti")
+    to = rename_targets(renames).join(docs.select(F.col("path").alias("new_path")), "new_path", "left_semi")
+    out = lost.join(to, F.col("resolved") == F.col("old_path"))
+    return out.select("path", "line", "nth", "target", _anchored(T.relative(F.col("path"), F.col("new_path"))).alias("replacement"))
+
+
+def apply_fixes(docs: DataFrame, fixed: DataFrame) -> DataFrame:
+    """path, old, new, changed of the documents with fixes (target, replacement): each target is replaced wherever a link names it."""
+    each = fixed.select("path", "target", "replacement").distinct().groupBy("path", "target").agg(F.min("replacement").alias("replacement"))
+    listed = each.groupBy("path").agg(F.sort_array(F.collect_list(F.struct("target", "replacement"))).alias("f"))
+    new = F.aggregate("f", F.col("content"), lambda acc, x: F.replace(acc, F.concat(F.lit("]("), x["target"], F.lit(")")), F.concat(F.lit("]("), x["replacement"], F.lit(")"))))
+    return docs.join(listed, "path").select("path", F.col("content").alias("old"), new.alias("new")).withColumn("changed", F.col("old") != F.col("new"))
 
 
 def rewrite(docs: DataFrame, mappings: list[tuple[str, str]]) -> DataFrame:

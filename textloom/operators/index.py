@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..sources.store import stored
 
 
 def lines(docs: DataFrame) -> DataFrame:
@@ -19,10 +20,12 @@ def words(docs: DataFrame, stop: tuple[str, ...] = K.QUERY_STOP) -> DataFrame:
     return docs.select("path", F.explode(T.words(F.array_join(T.prose(F.col("content")), "\n"), stop)).alias("word"))
 
 
+@stored
 def term_freq(docs: DataFrame) -> DataFrame:
     return words(docs).select("path", T.stem(F.col("word")).alias("term")).groupBy("path", "term").agg(F.count("*").alias("tf"))
 
 
+@stored
 def doc_length(docs: DataFrame) -> DataFrame:
     """path, doc_length, with a row for documents without words as well; no shuffle."""
     n = F.size(T.words(F.array_join(T.prose(F.col("content")), "\n"), K.QUERY_STOP))
@@ -41,6 +44,7 @@ def idf(docs: DataFrame) -> DataFrame:
     return df.crossJoin(n).select("term", "df", value.alias("idf"))
 
 
+@stored
 def headings(docs: DataFrame) -> DataFrame:
     """path, line, level, text."""
     at = lines(docs).where(F.col("line").rlike(r"^#{1,6}\s+.+$"))
@@ -53,6 +57,7 @@ def heading_terms(docs: DataFrame) -> DataFrame:
     return headings(docs).withColumn("word", F.explode(T.words(F.col("text"), K.QUERY_STOP))).withColumn("term", T.stem(F.col("word")))
 
 
+@stored
 def keyword_sets(docs: DataFrame) -> DataFrame:
     """path, term, in_heading: the terms of the headings, and those of the body that are in none."""
     heading = heading_terms(docs).select("path", "term", F.lit(1).alias("h"))
@@ -60,6 +65,7 @@ def keyword_sets(docs: DataFrame) -> DataFrame:
     return heading.unionByName(body).groupBy("path", "term").agg((F.max("h") == 1).alias("in_heading"))
 
 
+@stored
 def postings(docs: DataFrame) -> DataFrame:
     """term, path, line, heading, level: keywords (stemmed once more), and each word of each heading."""
     none = [F.lit(None).cast(t).alias(c) for c, t in (("line", "int"), ("heading", "string"), ("level", "int"))]
@@ -76,6 +82,7 @@ def top_keywords(docs: DataFrame, n: int = 20) -> DataFrame:
     return postings(docs).groupBy("term").agg(F.count("*").alias("postings")).orderBy(F.desc("postings"), "term").limit(n)
 
 
+@stored
 def links(docs: DataFrame) -> DataFrame:
     """path, line, nth, text, target of each Markdown link, images too."""
     rx = F.lit(r"\[([^\]]+)\]\(([^)]+)\)")
@@ -91,6 +98,7 @@ def index_stats(docs: DataFrame) -> DataFrame:
     return docs.agg(F.count("*").alias("files")).crossJoin(terms).crossJoin(h).crossJoin(k)
 
 
+@stored
 def adr_refs(docs: DataFrame) -> DataFrame:
     """path, line, nth, raw_text, normalized_id of each mention of a decision record."""
     rx = r"\bADR[-_ ]?(\d{2,4})\b"

@@ -83,8 +83,11 @@ def check(docs: DataFrame, rules: list[dict]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts, empty)
 
 
-def verdict(docs: DataFrame, rules: list[dict], fail_on: tuple[str, ...] = ("doc_missing", "code_missing", "anchor_missing", "policy_error")) -> DataFrame:
-    """kind, n, fails: what a continuous check finds, and which of it fails the run."""
+def verdict(docs: DataFrame, rules: list[dict], fail_on: tuple[str, ...] = ("doc_missing", "code_missing", "anchor_missing", "policy_error"), stale: DataFrame | None = None) -> DataFrame:
+    """kind, n, fails: what a continuous check finds in links, by policy and of stale documents (graph.stale), and which of it fails the run; staleness never does."""
     links = graph.link_check(docs).where("broken").groupBy("kind").agg(F.count("*").alias("n"))
     policy = check(docs, rules).groupBy(F.concat(F.lit("policy_"), F.when(F.col("severity") == "error", "error").otherwise("warn")).alias("kind")).agg(F.count("*").alias("n"))
-    return links.unionByName(policy).withColumn("fails", F.col("kind").isin(*fail_on))
+    out = links.unionByName(policy)
+    if stale is not None:
+        out = out.unionByName(stale.agg(F.count("*").alias("n")).where("n > 0").select(F.lit("stale").alias("kind"), "n"))
+    return out.withColumn("fails", F.col("kind").isin(*fail_on) & (F.col("kind") != "stale"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from .. import constants as K
 from ..functions import text as T
+from ..sources.store import stored
 from . import index, structure
 from .iterate import components
 
@@ -38,6 +39,7 @@ def _shingles(text: Column) -> tuple[Column, Column]:
     return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")), w
 
 
+@stored
 def simhash(docs: DataFrame) -> DataFrame:
     """path, sim_lo, sim_hi: over runs of three words, case kept; 0 for shorter documents."""
     sh, w = _shingles(F.col("content"))
@@ -45,9 +47,10 @@ def simhash(docs: DataFrame) -> DataFrame:
     return docs.select("path").join(found, "path", "left").na.fill(0, ["sim_lo", "sim_hi"])
 
 
+@stored
 def section_fingerprints(docs: DataFrame) -> DataFrame:
     """path, heading, level, line_start, line_end, sim_lo, sim_hi."""
-    s = structure.with_content(docs, structure.spans(docs))
+    s = structure.sections(docs).where("level > 0")
     keys = ["path", "heading", "level", "line_start", "line_end"]
     sh, w = _shingles(F.col("content"))
     found = _simhash_of(s.where(F.size(w) >= 3).select(*keys, F.explode(sh).alias("shingle")), keys)
@@ -59,6 +62,7 @@ def hamming(a: str, b: str) -> Column:
     return d("sim_lo") + d("sim_hi")
 
 
+@stored
 def minhash(docs: DataFrame) -> DataFrame:
     """path, minhash: the 128 minima over the keywords; documents without keywords have none."""
     x = keywords(docs).select("path", (T.hash32(F.col("term")) % K.PRIME).alias("x"))
@@ -85,20 +89,30 @@ def lsh_pairs(docs: DataFrame, sigs: DataFrame | None = None) -> DataFrame:
     return x.join(y, ["band", "key"]).where("path1 < path2").select("path1", "path2").distinct()
 
 
-def scored_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """path1, path2, jaccard, simhash, minhash of the pairs."""
-    sets = keywords(docs).groupBy("path").agg(F.collect_set("term").alias("terms"))
-    # the features of the documents that are in a pair
-    sig = docs.select("path").join(sets, "path", "left").join(simhash(docs), "path").join(minhash(docs), "path", "left")
-    a = sig.select(*[F.col(c).alias(f"a_{c}") for c in sig.columns])
-    b = sig.select(*[F.col(c).alias(f"b_{c}") for c in sig.columns])
-    j = pairs.join(a, F.col("path1") == F.col("a_path")).join(b, F.col("path2") == F.col("b_path"))
+def signatures(docs: DataFrame, some: DataFrame | None = None) -> DataFrame:
+    """path, terms, sim_lo, sim_hi, minhash of the documents, or of those in some (path)."""
+    only = (lambda df: df.join(some, "path", "left_semi")) if some is not None else (lambda df: df)
+    sets = only(keywords(docs)).groupBy("path").agg(F.collect_set("term").alias("terms"))
+    return only(simhash(docs)).join(sets, "path", "left").join(only(minhash(docs)), "path", "left")
+
+
+def _likeness() -> list[Column]:
+    """jaccard, simhash and minhash of columns prefixed a_ and b_."""
     both = F.size(F.array_intersect("a_terms", "b_terms"))
     union = F.size("a_terms") + F.size("b_terms") - both
     jac = F.when(F.col("a_terms").isNull() | F.col("b_terms").isNull(), 0.0).otherwise(both / union)
     same = F.size(F.filter(F.zip_with("a_minhash", "b_minhash", lambda x, y: x == y), lambda x: x))
     mh = F.when(F.col("a_minhash").isNull() | F.col("b_minhash").isNull(), 0.0).otherwise(same / K.SLOTS)
-    return j.select("path1", "path2", jac.alias("jaccard"), (1 - hamming("a_", "b_") / 64).alias("simhash"), mh.alias("minhash"))
+    return [jac.alias("jaccard"), (1 - hamming("a_", "b_") / 64).alias("simhash"), mh.alias("minhash")]
+
+
+def scored_pairs(docs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """path1, path2, jaccard, simhash, minhash of the pairs."""
+    some = pairs.select(F.explode(F.array("path1", "path2")).alias("path")).distinct()
+    sig = signatures(docs, some)
+    a = sig.select(*[F.col(c).alias(f"a_{c}") for c in sig.columns])
+    b = sig.select(*[F.col(c).alias(f"b_{c}") for c in sig.columns])
+    return pairs.join(a, F.col("path1") == F.col("a_path")).join(b, F.col("path2") == F.col("b_path")).select("path1", "path2", *_likeness())
 
 
 def _rounded(df: DataFrame, *cols: str) -> DataFrame:
@@ -117,9 +131,13 @@ def dupes_grouped(docs: DataFrame, threshold: float = 0.35) -> DataFrame:
 
 
 def similar(docs: DataFrame, path: str, k: int = 5, threshold: float = 0.3) -> DataFrame:
-    """The k documents most like one: that one row is sent to all others."""
-    others = docs.select(F.col("path").alias("path2")).where(F.col("path2") != path).select(F.lit(path).alias("path1"), "path2")
-    s = scored_pairs(docs, others).select(F.col("path2").alias("path"), "jaccard", "simhash", F.round(0.6 * F.col("jaccard") + 0.4 * F.col("simhash"), 6).alias("combined"))
+    """The k documents most like one: its signature, one row, is sent to all others."""
+    sig = signatures(docs)
+    one = sig.where(F.col("path") == path)
+    a = F.broadcast(one.select(*[F.col(c).alias(f"a_{c}") for c in one.columns]))
+    b = sig.where(F.col("path") != path).select(*[F.col(c).alias(f"b_{c}") for c in sig.columns])
+    s = b.crossJoin(a).select(F.col("b_path").alias("path"), *_likeness()[:2])
+    s = s.withColumn("combined", F.round(0.6 * F.col("jaccard") + 0.4 * F.col("simhash"), 6))
     return _rounded(s.where(F.col("combined") >= threshold).orderBy(F.desc("combined"), "path").limit(k), "jaccard", "simhash")
 
 
@@ -155,27 +173,49 @@ def consolidation(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     return group.join(mean, "canonical", "left").select("path", "canonical", F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
-def section_pairs(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Pairs of sections whose SimHash agrees in the share threshold of 64 bits.
-
-    By the pigeonhole principle two values that differ in at most d bits agree in one of d + 1
-    pieces of them, so pairs meet in an equi-join on a piece and are then compared; no pair is missed."""
-    d = int((1 - threshold) * 64)
-    f = section_fingerprints(docs).select(F.concat_ws("#", "path", F.col("line_start").cast("string")).alias("id"), "path", "line_start", "sim_lo", "sim_hi")
-    alike = f.groupBy("sim_lo", "sim_hi").agg(F.count("*").alias("n"))  # equal values meet once, however many sections have them
-    pieces, at = d + 1, 0
-    keys = []
-    for p in range(pieces):
-        size = (64 - at) // (pieces - p)
-        bits = range(at, at + size)
-        lo, hi = sum(1 << b for b in bits if b < 32), sum(1 << (b - 32) for b in bits if b >= 32)
-        keys.append(F.struct(F.lit(p).alias("piece"), F.col("sim_lo").bitwiseAND(F.lit(lo)).alias("x"), F.col("sim_hi").bitwiseAND(F.lit(hi)).alias("y")))
-        at += size
-    b = alike.select("sim_lo", "sim_hi", F.explode(F.array(*keys)).alias("k")).select("k.*", "sim_lo", "sim_hi")
-    one, two = (b.toDF("piece", "x", "y", f"{s}sim_lo", f"{s}sim_hi") for s in ("a", "b"))
-    near = one.join(two, ["piece", "x", "y"]).where(hamming("a", "b") <= d).select("asim_lo", "asim_hi", "bsim_lo", "bsim_hi").distinct()
-    left, right = (f.toDF(*(f"{s}{c}" for c in f.columns)) for s in ("a", "b"))
-    return near.join(left, ["asim_lo", "asim_hi"]).join(right, ["bsim_lo", "bsim_hi"]).where("aid < bid").select(F.col("aid").alias("section1"), F.col("bid").alias("section2"), F.round(1 - hamming("a", "b") / 64, 6).alias("similarity"))
+BLOCK = 4096  # fingerprints that are compared with as many others at once
+
+
+def _blocks(values: DataFrame, names: list[str]) -> DataFrame:
+    """Rows dealt by hash into blocks of about BLOCK, each one row of arrays."""
+    n = values.agg(F.ceil(F.count("*") / BLOCK).alias("of"))
+    dealt = values.crossJoin(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64(*names), F.greatest("of", F.lit(1))))
+    return dealt.groupBy("block").agg(F.collect_list(F.struct(*names)).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in names])
+
+
+def near_sections(docs: DataFrame, asked: DataFrame, threshold: float = 0.7) -> DataFrame:
+    """path, line_start, links, best: how many other sections are like each section of some documents (asked: path), and how like the most alike is.
+
+    At this threshold fingerprints share no piece to join on, so the distinct ones of the questions are compared with all distinct ones, block by block;
+    equal sections are one value with a count.  Sections of under three words have no fingerprint and are left out."""
+    f = section_fingerprints(docs).where("sim_lo <> 0 or sim_hi <> 0").select("path", "line_start", "sim_lo", "sim_hi")
+    values = f.groupBy("sim_lo", "sim_hi").agg(F.count("*").alias("n"))
+    q = f.join(asked.select("path"), "path", "left_semi")
+    names = ["sim_lo", "sim_hi", "n"]
+    ask = _blocks(q.select("sim_lo", "sim_hi").distinct(), names[:2]).toDF("qlo", "qhi")
+    pairs = _blocks(values, names).crossJoin(ask)
+    most = int((1 - threshold) * 64 + 1e-9)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        whole = lambda b, lo, hi, i: (b.column(lo)[i].values.to_numpy().astype(np.uint64) | b.column(hi)[i].values.to_numpy().astype(np.uint64) << np.uint64(32))
+        for b in batches:
+            for i in range(len(b)):
+                v, q, n = whole(b, "sim_lo", "sim_hi", i), whole(b, "qlo", "qhi", i), b.column("n")[i].values.to_numpy()
+                out = []
+                for x in q:
+                    d = np.bitwise_count(v ^ x)
+                    ok = d <= most
+                    other = ok & (d > 0)
+                    out.append((int(n[ok].sum()), int(d[other].min()) if other.any() else 65, bool(n[d == 0].sum() > 1)))
+                links, least, same = zip(*out)
+                yield pa.RecordBatch.from_arrays([b.column("qlo")[i].values, b.column("qhi")[i].values, pa.array(links, pa.int64()), pa.array([0 if s else x for x, s in zip(least, same)], pa.int32())], names=["sim_lo", "sim_hi", "links", "least"])
+
+    found = pairs.mapInArrow(run, "sim_lo long, sim_hi long, links long, least int").groupBy("sim_lo", "sim_hi").agg(F.sum("links").alias("links"), F.min("least").alias("least"))
+    best = F.when(F.col("least") < 65, F.round(1 - F.col("least") / 64, 6))
+    return q.join(found, ["sim_lo", "sim_hi"]).select("path", "line_start", (F.col("links") - 1).alias("links"), best.alias("best"))
 
 
 def section_clusters(docs: DataFrame, threshold: float = 0.7, least: int = 2) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..sources.store import stored
 from . import index
 
 
@@ -24,6 +25,7 @@ def is_changelog(text: Column) -> Column:
     return low.contains("changelog") | low.contains("release notes") | low.endswith("changes") | low.endswith("history")
 
 
+@stored
 def spans(docs: DataFrame) -> DataFrame:
     """path, heading, level, line_start, line_end of each section; a document without a heading is none."""
     w = W.partitionBy("path").orderBy("line")
@@ -33,12 +35,16 @@ def spans(docs: DataFrame) -> DataFrame:
 
 
 def with_content(docs: DataFrame, parts: DataFrame) -> DataFrame:
-    """parts with the text of their lines."""
-    l = docs.select("path", T.lines(F.col("content")).alias("l"))
-    cut = F.array_join(F.slice("l", F.col("line_start"), F.greatest(F.col("line_end") - F.col("line_start") + 1, F.lit(0))), "\n")
-    return parts.join(l, "path").withColumn("content", cut).drop("l")
+    """parts with the text of their lines: a document's parts come to its lines, which are split once and copied once."""
+    names = [c for c in parts.columns if c != "path"]
+    by_path = parts.groupBy("path").agg(F.collect_list(F.struct(*names)).alias("parts"))
+    # a generator of one row keeps the lines from being written out, and split, once for each part
+    l = docs.join(by_path, "path").select("path", "parts", F.explode(F.array(T.lines(F.col("content")))).alias("l"))
+    text = lambda s: F.array_join(F.slice("l", s["line_start"], F.greatest(s["line_end"] - s["line_start"] + 1, F.lit(0))), "\n")
+    return l.select("path", F.inline(F.transform("parts", lambda s: F.struct(*[s[c].alias(c) for c in names], text(s).alias("content")))))
 
 
+@stored
 def sections(docs: DataFrame) -> DataFrame:
     """spans with content; a document without a heading is one section, "Full Document"."""
     n = docs.select("path", F.lit("Full Document").alias("heading"), F.lit(0).alias("level"), F.lit(1).alias("line_start"), F.size(T.lines(F.col("content"))).alias("line_end"))
@@ -68,6 +74,7 @@ def metadata_lines(docs: DataFrame) -> DataFrame:
     return _front(docs).select("path", "frontmatter_keys", F.size(F.filter(lead, lambda x: x.rlike(r"^[A-Za-z][A-Za-z0-9 _-]*:[ \t]+[^ \t]"))).cast("long").alias("metadata_lines"))
 
 
+@stored
 def doc_metrics(docs: DataFrame) -> DataFrame:
     """A row of counts for each document."""
     l = index.lines(docs)
@@ -96,9 +103,10 @@ def doc_metrics(docs: DataFrame) -> DataFrame:
     return out.na.fill(0)
 
 
+@stored
 def section_metrics(docs: DataFrame) -> DataFrame:
     """A row of counts and flags for each section."""
-    s = with_content(docs, spans(docs))
+    s = sections(docs).where("level > 0")
     l = F.split("content", "\n", -1)
     count = lambda rx: F.size(F.filter(l, lambda x: x.rlike(rx))).cast("long")
     return s.select(

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .. import constants as K
-from ..sources.synthetic import MD_CTE, RAW_CTE
+from ..sources.synthetic import MD_CTE, RAW_CTE, RENAMES
 
 ABSENT = "zzyzxabsent"
 
@@ -149,9 +149,13 @@ def sql(select: str, needs: str, corpus: str = RAW_CTE, extra: str = "") -> str:
 
 SELF = "'docs/adr/ADR-000-0.md'"
 OTHER = "'docs/architecture/overview-1.md'"
+START = "'notes/page-99.rst'"
+TWINS = "'src/module-185/README.md'", "'src/module-195/README.md'"
 PHRASE = "(SELECT string_agg(w, ' ' ORDER BY i) FROM (SELECT unnest(range(len(l))) AS i, lower(unnest(l)) AS w FROM (SELECT list_filter(regexp_extract_all(text, '" + K.WORD + "'), lambda x: length(x) >= 3)[1:2] AS l FROM benchmark WHERE item_id = 0)))"
 _PH = f"cand0 AS (SELECT * FROM bm WHERE score > 0 ORDER BY score DESC, path LIMIT 100), txt AS (SELECT path, ' ' || coalesce(array_to_string(list_transform(list_filter(regexp_extract_all(content, '{K.WORD}'), lambda x: length(x) >= 3), lambda x: lower(x)), ' '), '') || ' ' AS t FROM docs WHERE path IN (SELECT path FROM cand0)), hit AS (SELECT path, score, CASE WHEN contains(t, ' ' || {PHRASE} || ' ') THEN 1 ELSE 0 END AS hits FROM cand0 JOIN txt USING (path))"
 _HEALTH = f"tot AS (SELECT m.*, coalesce(completed, 0) AS completed, coalesce(entries, 0) AS entries FROM metr m LEFT JOIN (SELECT path, sum(line_count) AS completed FROM secm WHERE has_completion_marker GROUP BY path) USING (path) LEFT JOIN (SELECT path, sum(list_item_count) AS entries FROM secm WHERE looks_like_changelog GROUP BY path) USING (path)), iss AS (SELECT path, 'bloated-file' AS kind, 'error' AS severity, line_count::BIGINT AS value, 20::BIGINT AS threshold FROM tot WHERE line_count > 20 UNION ALL SELECT path, 'accumulator-pattern', 'error', part_headings::BIGINT, 2 FROM tot WHERE part_headings >= 2 UNION ALL SELECT path, 'stale-completed', 'warning', completed::BIGINT, 5 FROM tot WHERE completed > 5 UNION ALL SELECT path, 'changelog-bloat', 'warning', entries::BIGINT, 1 FROM tot WHERE entries > 1)"
+_DIRS = "CASE WHEN contains({0}, '/') THEN string_split(regexp_replace({0}, '/[^/]*$', ''), '/') ELSE [] END"
+_NOW = "ren(seq, old_path, new_path) AS (VALUES " + ", ".join(f"({i}, '{a}', '{b}')" for i, (a, b) in enumerate(RENAMES)) + "), step(old_path, now_path, seq) AS (SELECT old_path, new_path, seq FROM ren WHERE seq = (SELECT min(seq) FROM ren x WHERE x.old_path = ren.old_path) UNION ALL SELECT s.old_path, r.new_path, r.seq FROM step s JOIN ren r ON r.old_path = s.now_path AND r.seq = (SELECT min(seq) FROM ren x WHERE x.old_path = s.now_path AND x.seq > s.seq)), now AS (SELECT old_path, arg_max(now_path, seq) AS now_path FROM step GROUP BY old_path)"
 _RULES_GLOB = "regexp_matches(path, '^(?:.*/)?adr/.*\\.md$')"
 
 
@@ -159,7 +163,7 @@ def _paths(depth: int) -> str:
     return sql(
         f"SELECT DISTINCT e.source, e.target, e.kind, d.dist + 1 AS hop FROM ed e JOIN (SELECT node, min(dist) AS dist FROM walk GROUP BY node) d ON e.source = d.node WHERE d.dist < {depth}",
         "edges", MD_CTE,
-        f"ed AS (SELECT DISTINCT source, target, kind FROM edges), walk AS (SELECT path AS node, 0 AS dist FROM docs WHERE path = {SELF} UNION SELECT ed.target, dist + 1 FROM walk JOIN ed ON ed.source = walk.node WHERE dist + 1 < {depth})",
+        f"ed AS (SELECT DISTINCT source, target, kind FROM edges), walk AS (SELECT path AS node, 0 AS dist FROM docs WHERE path = {START} UNION SELECT ed.target, dist + 1 FROM walk JOIN ed ON ed.source = walk.node WHERE dist + 1 < {depth})",
     )
 
 
@@ -168,7 +172,7 @@ def _metrics_extra() -> str:
 
 
 ORACLE: dict[str, str] = {
-    "bm25_topk": sql("SELECT path, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY score DESC, path LIMIT 10", "bm"),
+    "bm25_topk": sql("SELECT path, round(score, 6) AS score FROM bm WHERE score > 0 ORDER BY round(score, 6) DESC, path LIMIT 10", "bm"),
     "term_freq": sql("SELECT path, term, tf FROM tf", "tf"),
     "doc_length": sql("SELECT path, doc_length FROM lens", "lens"),
     "corpus_stats": sql("SELECT count(*) AS n_docs, round(avg(doc_length), 6) AS avg_doc_length FROM lens", "lens"),
@@ -188,7 +192,7 @@ ORACLE: dict[str, str] = {
     "dupes_group": sql("SELECT path1 AS first, count(*) AS members, max(combined) AS best FROM dup WHERE combined >= 0.35 GROUP BY path1", "dup"),
     "similar": sql(f"SELECT * FROM (SELECT s.path, round(j, 6) AS jaccard, round(h, 6) AS simhash, round(0.6::DOUBLE * j + 0.4::DOUBLE * h, 6) AS combined FROM (SELECT d.path, coalesce(len(list_intersect(a.terms, b.terms))::DOUBLE / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))), 0) AS j, 1 - (bit_count(xor(u.sim_lo, v.sim_lo)) + bit_count(xor(u.sim_hi, v.sim_hi))) / 64.0::DOUBLE AS h FROM docs d LEFT JOIN sets b USING (path) JOIN sim v USING (path) CROSS JOIN (SELECT * FROM sets WHERE path = {SELF}) a JOIN sim u ON u.path = a.path WHERE d.path <> {SELF}) s) WHERE combined >= 0.3 ORDER BY combined DESC, path LIMIT 5", "sets sim"),
     "diff_keywords": sql(f"SELECT term, CASE WHEN a AND b THEN 'shared' WHEN a THEN 'only1' ELSE 'only2' END AS side FROM (SELECT term, bool_or(path = {SELF}) AS a, bool_or(path = {OTHER}) AS b FROM kw WHERE path IN ({SELF}, {OTHER}) GROUP BY term)", "kw", MD_CTE),
-    "diff_headings": sql(f"SELECT lower(text) AS heading FROM heads WHERE path = {SELF} INTERSECT SELECT lower(text) FROM heads WHERE path = {OTHER}", "heads", MD_CTE),
+    "diff_headings": sql(f"SELECT lower(text) AS heading FROM heads WHERE path = {TWINS[0]} INTERSECT SELECT lower(text) FROM heads WHERE path = {TWINS[1]}", "heads", MD_CTE),
     "exact_dupes": sql("SELECT min(path) AS first, count(*) AS copies FROM docs GROUP BY content HAVING count(*) > 1", ""),
     "headings": sql("SELECT path, line, level, text FROM heads", "heads", MD_CTE),
     "links": sql("SELECT path, line, nth, text, target FROM lnk", "lnk", MD_CTE),
@@ -229,7 +233,22 @@ ORACLE: dict[str, str] = {
         f"UNION ALL SELECT path, '*.txt', 'warning', 'must_link_to', 'docs/index/topic-8.md' FROM docs WHERE ends_with(path, '.txt') AND path NOT IN (SELECT path FROM res WHERE NOT {EXTERNAL} AND resolved = 'docs/index/topic-8.md')",
         "heads nlines sects res", MD_CTE,
     ),
-    "check_verdict": sql(f"SELECT kind, count(*) AS n, kind IN ('doc_missing', 'code_missing', 'anchor_missing', 'policy_error') AS fails FROM (SELECT kind FROM checked WHERE broken UNION ALL SELECT 'policy_error' FROM docs WHERE {_RULES_GLOB} AND NOT contains(content, 'Status:')) GROUP BY kind", "checked", MD_CTE),
+    "check_verdict": sql(f"SELECT kind, count(*) AS n, kind IN ('doc_missing', 'code_missing', 'anchor_missing', 'policy_error') AS fails FROM (SELECT kind FROM checked WHERE broken UNION ALL SELECT 'policy_error' FROM docs WHERE {_RULES_GLOB} AND NOT contains(content, 'Status:') UNION ALL SELECT 'stale' FROM docs JOIN inb USING (path) WHERE inbound >= 1 AND DATE '2025-02-15' - (DATE '2024-01-01' + (doc_id % 400)::INTEGER) >= 90) GROUP BY kind", "checked inb", MD_CTE),
+    "fix_renamed": sql(f"SELECT path, line, nth, target, repeat('../', len(a) - n) || array_to_string(b[n + 1:], '/') || coalesce('#' || anchor, '') AS replacement FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(len(a), len(b) - 1) + 1), lambda i: a[:i] = b[:i])), 0) AS n FROM (SELECT r.*, {_DIRS.format('r.path')} AS a, string_split(now_path, '/') AS b FROM res r JOIN now ON resolved = old_path JOIN docs d ON d.path = now_path WHERE NOT {EXTERNAL} AND NOT {PLACEHOLDER} AND resolved <> r.path AND resolved NOT IN (SELECT path FROM docs) AND NOT EXISTS (SELECT 1 FROM fixed f WHERE f.path = r.path AND f.line = r.line AND f.nth = r.nth)))", "res fixed", MD_CTE, _NOW),
+    "rename_targets": f"WITH RECURSIVE {_NOW} SELECT old_path, now_path AS new_path FROM now",
+    "fix_decisions": sql("SELECT path, line, nth, target, string_split(options, ',')[line % n + 1] || CASE WHEN contains(target, '#') THEN '#' || regexp_extract(target, '^[^#]*#(.*)$', 1) ELSE '' END AS replacement FROM (SELECT path, line, nth, target, string_agg(candidate, ',' ORDER BY candidate) AS options, count(*) AS n FROM fixed WHERE candidates > 1 GROUP BY ALL)", "fixed", MD_CTE),
+    "fix_applied": sql("SELECT path, md5(new) AS new_md5 FROM (SELECT d.path, d.content, list_reduce(list_prepend({'t': '', 'r': d.content}, f), lambda acc, x: {'t': '', 'r': replace(acc.r, '](' || x.t || ')', '](' || x.r || ')')}).r AS new FROM docs d JOIN (SELECT path, list({'t': target, 'r': r} ORDER BY target) AS f FROM (SELECT path, target, min(candidate || CASE WHEN contains(target, '#') THEN '#' || regexp_extract(target, '^[^#]*#(.*)$', 1) ELSE '' END) AS r FROM fixed WHERE candidates = 1 GROUP BY path, target) WHERE r <> target GROUP BY path) USING (path)) WHERE new <> content", "fixed", MD_CTE),
+    "resolve_path": f"SELECT * FROM (VALUES (0, './' || {SELF}, {SELF}), (1, 'docs/../' || {START}, {START}), (2, '/srv/corpus/' || {OTHER}, {OTHER}), (3, 'none.md', NULL)) t(pos, asked, path)",
+    "relative_links": sql(f"SELECT path, resolved, repeat('../', len(a) - n) || array_to_string(b[n + 1:], '/') AS relative FROM (SELECT *, coalesce(list_max(list_filter(range(1, least(len(a), len(b) - 1) + 1), lambda i: a[:i] = b[:i])), 0) AS n FROM (SELECT path, resolved, {_DIRS.format('path')} AS a, string_split(resolved, '/') AS b FROM inner_res))", "inner_res", MD_CTE),
+    "section_references": sql(
+        f"SELECT path AS origin, resolved AS target, anchor FROM res r WHERE NOT {EXTERNAL} AND regexp_matches(lower(resolved), '\\.(md|txt|rst)$') AND EXISTS (SELECT 1 FROM sects s WHERE s.path = r.path AND r.line BETWEEN s.line_start AND s.line_end) "
+        "UNION SELECT path, adr_path, NULL FROM adr a JOIN adrx USING (normalized_id) WHERE EXISTS (SELECT 1 FROM sects s WHERE s.path = a.path AND a.line BETWEEN s.line_start AND s.line_end)",
+        "res sects adr adrx", MD_CTE,
+    ),
+    "heading_matches": sql(f"SELECT path, line, text FROM (SELECT *, row_number() OVER (PARTITION BY path ORDER BY line) AS nth FROM heads) h WHERE nth <= 3 AND len(list_filter(regexp_extract_all(text, '{K.WORD}'), lambda w: length(w) >= 3 AND {stem('lower(w)')} IN ('overview', 'complet'))) > 0", "heads", MD_CTE),
+    "file_sections": sql(f"SELECT path, heading, line_start, line_end, 1.0::DOUBLE AS bm25, {canon('path')} AS canonicality, round(0.7::DOUBLE + 0.3::DOUBLE * {canon('path')}, 6) AS combined FROM sects WHERE path IN ({SELF}, {START}, {TWINS[0]}, {TWINS[1]}) ORDER BY combined DESC, path, line_start, line_end, heading LIMIT 20", "sects", MD_CTE),
+    "file_sections_ranked": sql(f"SELECT path, heading, line_start, line_end, round(coalesce(score, 0), 6) AS bm25, {canon('path')} AS canonicality, round(0.7::DOUBLE * coalesce(score, 0) + 0.3::DOUBLE * {canon('path')}, 6) AS combined FROM sects LEFT JOIN bm USING (path) WHERE path IN ({SELF}, {START}, {TWINS[0]}, {TWINS[1]}) ORDER BY combined DESC, path, line_start, line_end, heading LIMIT 20", "sects bm", MD_CTE),
+    "doc_ranking": sql(f"SELECT path, row_number() OVER (ORDER BY r)::INTEGER AS rank FROM (SELECT path, min(r) AS r FROM (SELECT path, row_number() OVER (ORDER BY combined DESC, path, line_start, line_end, heading) AS r FROM (SELECT path, heading, line_start, line_end, round(0.7::DOUBLE * score + 0.3::DOUBLE * {canon('path')}, 6) AS combined FROM sects JOIN (SELECT * FROM bm WHERE score > 0.01 ORDER BY score DESC, path LIMIT 20) USING (path))) WHERE r <= 20 GROUP BY path)", "bm sects", MD_CTE),
     "vocabulary_frequencies": sql("SELECT * FROM vfreq", "vfreq", MD_CTE),
     "common_terms": sql("SELECT * FROM vfreq ORDER BY term_freq DESC, doc_freq DESC, term LIMIT 10", "vfreq", MD_CTE),
     "vocabulary": sql(f"""SELECT rank, surface, term, doc_freq, term_freq FROM (SELECT *, row_number() OVER (ORDER BY doc_freq DESC, term_freq DESC, first_path, term) AS rank FROM (
@@ -238,6 +257,9 @@ ORACLE: dict[str, str] = {
         LEFT JOIN (SELECT {stem('term')} AS term, arg_min(term, (path, term)) AS s2 FROM kw GROUP BY 1) USING (term))
         WHERE surface IS NOT NULL AND surface NOT IN {_in(K.VOCABULARY_STOP)} AND term NOT IN {_in(K.VOCABULARY_STOP)}) WHERE rank <= 100""", "vfreq hwords kw", MD_CTE),
     "section_fingerprints": sql(f"SELECT s.path, s.heading, s.level, s.line_start, s.line_end, coalesce(sim_lo, 0) AS sim_lo, coalesce(sim_hi, 0) AS sim_hi FROM spans s LEFT JOIN (SELECT path, line_start, ({_bits('a')})::BIGINT AS sim_lo, ({_bits('b')})::BIGINT AS sim_hi FROM (SELECT path, line_start, {h32('s')} AS a, {h32('s', 9)} AS b FROM (SELECT path, line_start, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT path, line_start, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT path, line_start, {SHINGLE.format('content')} AS w FROM sects WHERE level > 0)))) GROUP BY path, line_start) USING (path, line_start)", "spans sects", MD_CTE),
+    "near_sections": sql("SELECT path, line_start, (sum(n) FILTER (WHERE d <= 19) - 1)::BIGINT AS links, round(1 - min(d) FILTER (WHERE d <= 19 AND (d > 0 OR n > 1)) / 64.0::DOUBLE, 6) AS best FROM (SELECT q.path, q.line_start, v.n, bit_count(xor(q.sim_lo, v.sim_lo)) + bit_count(xor(q.sim_hi, v.sim_hi)) AS d FROM (SELECT f.* FROM fp f JOIN docs USING (path) WHERE doc_id % 20 = 0) q CROSS JOIN (SELECT sim_lo, sim_hi, count(*) AS n FROM fp GROUP BY ALL) v) GROUP BY path, line_start", "spans sects", MD_CTE, f"fp AS (SELECT path, line_start, ({_bits('a')})::BIGINT AS sim_lo, ({_bits('b')})::BIGINT AS sim_hi FROM (SELECT path, line_start, {h32('s')} AS a, {h32('s', 9)} AS b FROM (SELECT path, line_start, array_to_string(w[i:i + 2], ' ') AS s FROM (SELECT path, line_start, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT path, line_start, {SHINGLE.format('content')} AS w FROM sects WHERE level > 0)))) GROUP BY path, line_start)"),
+    "bm25_topk_all": sql(f"SELECT query_id, path, round(score, 6) AS score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, path) AS r FROM (SELECT query_id, path, sum(times * idf * tf * {K.K1 + 1}::DOUBLE / (tf + {K.K1}::DOUBLE * ({1 - K.B}::DOUBLE + {K.B}::DOUBLE * doc_length / (SELECT avg(doc_length) FROM lens)))) AS score FROM qs JOIN tf USING (term) JOIN idf USING (term) JOIN lens USING (path) GROUP BY query_id, path) WHERE score > 0) WHERE r <= 10", "tf idf lens", RAW_CTE, f"qs AS (SELECT query_id, {stem('word')} AS term, count(*) AS times FROM (SELECT item_id AS query_id, lower(unnest(regexp_extract_all(text, '{K.WORD}'))) AS word FROM benchmark) WHERE length(word) >= 3 AND word NOT IN {_in(K.QUERY_STOP)} GROUP BY ALL)"),
+    "index_build": sql("SELECT * FROM (VALUES ('docs', (SELECT count(*) FROM docs)), ('headings', (SELECT count(*) FROM heads)), ('links', (SELECT count(*) FROM lnk)), ('adr_refs', (SELECT count(*) FROM adr)), ('spans', (SELECT count(*) FROM spans)), ('sections', (SELECT count(*) FROM sects)), ('term_freq', (SELECT count(*) FROM tf)), ('doc_length', (SELECT count(*) FROM lens)), ('keyword_sets', (SELECT count(*) FROM kw)), ('postings', (SELECT count(*) FROM posts)), ('resolved_links', (SELECT count(*) FROM res WHERE NOT " + EXTERNAL + ")), ('edges', (SELECT count(*) FROM edges)), ('doc_metrics', (SELECT count(*) FROM docs)), ('section_metrics', (SELECT count(*) FROM spans)), ('simhash', (SELECT count(*) FROM docs)), ('minhash', (SELECT count(DISTINCT path) FROM kw)), ('section_fingerprints', (SELECT count(*) FROM spans))) t(name, rows)", "heads lnk adr spans sects tf lens kw posts res edges", MD_CTE),
     "consolidation": sql(f"""SELECT g.path, g.canonical, coalesce(similarity, 0) AS similarity FROM (SELECT node AS path, first_value(node) OVER (PARTITION BY root ORDER BY {canon('node')} DESC, node) AS canonical FROM comp) g
         LEFT JOIN (SELECT c, round(avg(combined), 6) AS similarity FROM (SELECT path1 AS c, combined FROM d UNION ALL SELECT path2, combined FROM d) GROUP BY c) m ON m.c = g.canonical""",
         "dup", RAW_CTE, "d AS (SELECT * FROM dup WHERE combined >= 0.7), nb AS (SELECT path1 AS a, path2 AS b FROM d UNION SELECT path2, path1 FROM d), reach AS (SELECT a, a AS b FROM nb UNION SELECT reach.a, nb.b FROM reach JOIN nb ON nb.a = reach.b), comp AS (SELECT a AS node, min(b) AS root FROM reach GROUP BY a)"),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -12,10 +13,14 @@ from .. import constants as K
 from ..functions import text as T
 from ..operators import context, evaluation, graph, index, rules, search, similarity, structure, vocabulary
 from ..session import prepare
-from ..sources.synthetic import markdown_corpus, raw_corpus
+from ..sources import store
+from ..sources.store import indexed
+from ..sources.synthetic import RENAMES, markdown_corpus, raw_corpus
 from .oracle import ABSENT
 
 SELF, OTHER = "docs/adr/ADR-000-0.md", "docs/architecture/overview-1.md"
+START = "notes/page-99.rst"  # where walks of the graph begin
+TWINS = "src/module-185/README.md", "src/module-195/README.md"  # two documents that share headings
 RULES = [
     {"pattern": "**/adr/*.md", "name": "records", "must_contain": ["Status:"], "must_not_contain": ["TODO"], "min_length": 5, "max_length": 40, "required_headings": ["Overview"]},
     {"pattern": "*.txt", "severity": "warning", "forbidden_headings": ["Overview"], "max_section_length": 6, "section_heading_regex": "^[AO]", "must_link_to": ["docs/index/topic-8.md"]},
@@ -28,11 +33,11 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
 
 
 def raw(spark: SparkSession, d: str) -> DataFrame:
-    return raw_corpus(table(spark, d, "documents"))
+    return indexed(raw_corpus(table(spark, d, "documents")), f"raw:{d}")
 
 
 def md(spark: SparkSession, d: str) -> DataFrame:
-    return markdown_corpus(table(spark, d, "documents"))
+    return indexed(markdown_corpus(table(spark, d, "documents")), f"md:{d}")
 
 
 def question(spark: SparkSession, d: str) -> list[str]:
@@ -63,6 +68,38 @@ def _stale(spark: SparkSession, d: str) -> DataFrame:
     return graph.stale(docs, F.lit("2025-02-15").cast("date"), mtime, 90, 1)
 
 
+def _history(spark: SparkSession) -> DataFrame:
+    return spark.createDataFrame([(i, *r) for i, r in enumerate(RENAMES)], "seq int, old_path string, new_path string")
+
+
+def _decided(spark: SparkSession, d: str) -> DataFrame:
+    """The proposals, each decided by its line."""
+    return graph.apply_decisions(graph.proposals(md(spark, d)).withColumn("decision", F.col("line") % F.col("n")))
+
+
+def _checked(spark: SparkSession, d: str) -> DataFrame:
+    return rules.verdict(md(spark, d), [{"pattern": "**/adr/*.md", "must_contain": ["Status:"]}], stale=_stale(spark, d))
+
+
+def _built(spark: SparkSession, d: str) -> DataFrame:
+    """name, rows of each table of an index, built anew."""
+    folder = f"{store.shared_dir(spark)}/textloom-build-{spark.sparkContext.applicationId}"
+    docs = store.build(table(spark, d, "documents").transform(markdown_corpus), folder)
+    of = docs._textloom_index
+    parts = [docs.agg(F.lit("docs").alias("name"), F.count("*").alias("rows"))] + [of.table(n).agg(F.lit(n).alias("name"), F.count("*").alias("rows")) for n in store.TABLES]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def _rewritten(spark: SparkSession, d: str) -> DataFrame:
+    docs = md(spark, d)
+    return graph.apply_fixes(docs, graph.fixes(docs)).where("changed").select("path", F.md5("new").alias("new_md5"))
+
+
+def _near(spark: SparkSession, d: str) -> DataFrame:
+    docs = md(spark, d)
+    return similarity.near_sections(docs, docs.where("doc_id % 20 = 0"))
+
+
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
     """How well length ranks the documents of each source that are labelled good."""
     docs = table(spark, d, "documents").select(F.coalesce("source", F.lit("")).alias("question_id"), F.col("doc_id").alias("path"), "n_chars")
@@ -103,7 +140,7 @@ QUERIES |= {
     "dupes_group": over(raw, similarity.dupes_grouped),
     "similar": over(raw, similarity.similar, SELF),
     "diff_keywords": over(md, similarity.diff, SELF, OTHER),
-    "diff_headings": over(md, similarity.diff_headings, SELF, OTHER),
+    "diff_headings": over(md, similarity.diff_headings, *TWINS),
     "exact_dupes": over(raw, similarity.exact_dupes),
     "headings": over(md, index.headings),
     "links": over(md, index.links),
@@ -119,9 +156,9 @@ QUERIES |= {
     "orphans": over(md, graph.orphans, ["archive"]),
     "canonicality": lambda s, d: graph.canonicality(md(s, d)).drop("reasons"),
     "canonical_orphans": over(md, graph.canonical_orphans),
-    "paths_d1": over(md, graph.paths, SELF, 1),
-    "paths_d2": over(md, graph.paths, SELF, 2),
-    "paths_d3": over(md, graph.paths, SELF, 3),
+    "paths_d1": over(md, graph.paths, START, 1),
+    "paths_d2": over(md, graph.paths, START, 2),
+    "paths_d3": over(md, graph.paths, START, 3),
     "graph_export": over(md, graph.graph_export),
     "graph_dot": over(md, graph.dot),
     "link_check": over(md, graph.link_check),
@@ -134,13 +171,25 @@ QUERIES |= {
     "fix_references": lambda s, d: graph.rewrite(md(s, d), [("TODO", "docs/todo.md"), ("docs/todo.md", "docs/tasks.md")]).where("changed").select("path", F.md5("new").alias("new_md5")),
     "move_refs": over(md, graph.move, "TODO", "docs/todo.md"),
     "policy": over(md, rules.check, RULES),
-    "check_verdict": over(md, rules.verdict, [{"pattern": "**/adr/*.md", "must_contain": ["Status:"]}]),
+    "check_verdict": _checked,
+    "index_build": _built,
+    "fix_renamed": lambda s, d: graph.renamed_fixes(md(s, d), _history(s)),
+    "fix_decisions": _decided,
+    "fix_applied": _rewritten,
+    "rename_targets": lambda s, d: graph.rename_targets(_history(s)),
+    "resolve_path": lambda s, d: graph.resolve_path(md(s, d), ["./" + SELF, "docs/../" + START, "/srv/corpus/" + OTHER, "none.md"], "/srv/corpus"),
+    "relative_links": lambda s, d: graph.inner_links(md(s, d)).select("path", "resolved", T.relative(F.col("path"), F.col("resolved")).alias("relative")),
+    "section_references": lambda s, d: context.references(md(s, d), structure.sections(md(s, d))),
+    "heading_matches": lambda s, d: search.matching_headings(md(s, d), md(s, d), ["overview", "Completed"]),
+    "file_sections": lambda s, d: search.file_sections(md(s, d), [SELF, START, *TWINS], []).drop("content"),
+    "file_sections_ranked": lambda s, d: search.file_sections(md(s, d), [SELF, START, *TWINS], question(s, d)).drop("content"),
+    "doc_ranking": lambda s, d: search.doc_ranking(context.ranked_sections(md(s, d), question(s, d), 20)),
     "vocabulary_frequencies": over(md, vocabulary.frequencies),
     "common_terms": over(md, vocabulary.common_terms),
     "vocabulary": over(md, vocabulary.vocabulary),
     "section_fingerprints": over(md, similarity.section_fingerprints),
     "consolidation": over(raw, similarity.consolidation),
-    "dupes_sections_pairs": over(md, similarity.section_pairs, 0.9),
+    "near_sections": _near,
     "dupes_sections": over(md, similarity.section_clusters),
     "section_search": lambda s, d: search.sections_ranked(md(s, d), question(s, d)).drop("content"),
     "sentence_scores": over(raw, context.sentence_scores, ["the", "que"]),
@@ -150,5 +199,5 @@ QUERIES |= {
     "refine": _refined,
     "assemble": lambda s, d: context.assemble(md(s, d), " ".join(question(s, d))),
     "search_context": lambda s, d: context.search_context(md(s, d), " ".join(question(s, d))),
-    "eval": lambda s, d: evaluation.evaluate(md(s, d), [{"id": 1, "q": " ".join(question(s, d)), "expect": question(s, d)[:2]}]),
+    "eval": lambda s, d: evaluation.evaluate(md(s, d), [{"id": 1, "q": " ".join(question(s, d)), "expect": question(s, d)[:2]}]).drop("missing", "ranked"),
 }
