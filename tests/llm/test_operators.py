@@ -326,7 +326,7 @@ def test_marginals_against_all_labellings():
             assert abs(p[a + i] - sum(w for y, w in weight.items() if y[i]) / sum(weight.values())) < 1e-9
 
 
-def plain_score(text, m):
+def plain_score(text, m, base=0.0):
     """Score and offsets by one recursion over a text's words, in plain Python; the levels alone come from the operator's tables."""
     arr = pa.array([text], pa.string())
     w = toxicity.words(arr)
@@ -344,7 +344,7 @@ def plain_score(text, m):
         b = [1.0, 1.0] if not beta else [sum(math.exp(t[x][y]) * emit[i + 1][y] * beta[-1][y] for y in (0, 1)) for x in (0, 1)]
         beta.append([v / sum(b) for v in b])
     p = [a[1] * b[1] / (a[0] * b[0] + a[1] * b[1]) for a, b in zip(alpha, beta[::-1])]
-    return sum(p), [(*s, q) for s, q in zip(spans, p) if q >= 0.5]
+    return sum(p) - len(p) * base, [(*s, q) for s, q in zip(spans, p) if q >= 0.5]
 
 
 def test_toxic_rows_against_plain_recursion(spark):
@@ -353,13 +353,19 @@ def test_toxic_rows_against_plain_recursion(spark):
     some = docs.select("doc_id", "text").union(spark.createDataFrame([(-1, None), (-2, ""), (-3, "é 漢字 – x\u3001y " * 50)], "doc_id long, text string"))
     got = {r.doc_id: r for r in toxicity.score(some, m).collect()}
     toxic = 0
+    none = {**m, "lexicon": [[[], []]] * toxicity._KINDS}
+    base = plain_score("w " * 401, none)[0] / 2 - plain_score("w " * 201, none)[0] / 2
+    base /= 100  # what a hundred more words without evidence add
     for r in some.collect():
-        score, spans = plain_score(r.text or "", m)
+        score, spans = plain_score(r.text or "", m, base)
         g = got[r.doc_id]
         assert abs(g.score - score) < 1e-6 * max(1, score) and g.toxic == (score >= m["threshold"])
         assert [(x.start, x.end) for x in g.spans or []] == ([x[:2] for x in spans] if g.toxic else [])
         toxic += g.toxic
     assert toxic > 20
+    # a text doesn't become toxic by being long
+    long = toxicity.Scorer(none)(pa.array(["plain words " * 500_000]))[0][0]
+    assert abs(long) < 0.1
 
 
 def test_gradient_is_that_of_the_likelihood():

@@ -13,8 +13,9 @@ trusted, for a word, for a beginning of words and beside a neighbour that is tox
 these documents, by gradient ascent on the log-likelihood.  The threshold is where F1 of the documents is best, each scored by the other
 half's lexicon (the highest such score of equals).
 
-Applied, the lexicon is that of both halves together.  The sum of the forward-backward marginals of all of a document's
-tokens, the expected number of toxic words, is its score, and words whose marginal is at least one half (`SPAN`) are its offending offsets.
+Applied, the lexicon is that of both halves together.  A document's score is the sum of the forward-backward marginals of all its
+tokens, the expected number of toxic words, less what as many words without any evidence have (each a fixed, tiny marginal, which
+would otherwise add up to a verdict on any text that is long enough); words whose marginal is at least one half (`SPAN`) are its offending offsets.
 
 The fit uses at most `max_docs` labelled documents of each class, the ones with the smallest
 hash of doc_id (of these, doc_id and the text's md5 where it repeats); everything else covers every word of every document.
@@ -154,12 +155,17 @@ def posterior(alpha: np.ndarray, beta: np.ndarray) -> np.ndarray:
     return g[1] / (g[0] + g[1])
 
 
-def document_scores(p: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Sum of each document's marginals."""
-    total = np.concatenate([[0.0], np.cumsum(p)])
+def document_scores(p: np.ndarray, of: np.ndarray, base: float) -> np.ndarray:
+    """Sum of each document's marginals, less `base` for each of its tokens."""
+    total = np.concatenate([[0.0], np.cumsum(p - base)])
     return total[of[1:]] - total[of[:-1]]
 
 
+def base_rate(theta: np.ndarray, trans: np.ndarray) -> float:
+    """The marginal of a token that has no evidence, far from any that has."""
+    return float(_marginal(np.zeros((_KINDS, 401), np.int8), np.array([0, 401]), theta, trans)[200])
+
+
 # --- fitting ----------------------------------------------------------------------------
 
 
@@ -254,7 +260,8 @@ def fit(texts: list[str], toxic: np.ndarray, rounds: int = 60, least: int = 3) -
     if not any(y.any() for _, y, _ in data):
         return empty
     theta, trans = _train(data, rounds)
-    score = np.concatenate([document_scores(_marginal(x, o, theta, trans), o) for x, _, o in data])
+    base = base_rate(theta, trans)
+    score = np.concatenate([document_scores(_marginal(x, o, theta, trans), o, base) for x, _, o in data])
     return {
         "lexicon": [[[int(x) for x in a], [int(x) for x in b]] for a, b in _lexicon(pa.array(texts, pa.string()), toxic, least)],
         "theta": theta.tolist(),
@@ -343,6 +350,7 @@ class Scorer:
     def __init__(self, m: dict):
         self.lexicon = [(np.array(a, np.uint64), np.array(b, np.int8)) for a, b in m["lexicon"]]
         self.theta, self.trans, self.threshold = np.array(m["theta"]), np.array(m["trans"]), m["threshold"]
+        self.base = base_rate(self.theta, self.trans)
 
     def __call__(self, arr: pa.Array, located: bool = True) -> tuple[np.ndarray, list]:
         """Scores, and (if located) of each document over the threshold [(start, end, probability)] in characters."""
@@ -351,7 +359,7 @@ class Scorer:
         if not len(w.start):
             return np.zeros(n), [None] * n
         p = _marginal(_levels(w, self.lexicon), w.of, self.theta, self.trans)
-        score = document_scores(p, w.of)
+        score = document_scores(p, w.of, self.base)
         spans: list = [None] * n
         for d in np.flatnonzero(score >= self.threshold) if located else ():
             lo, hi = w.of[d], w.of[d + 1]
