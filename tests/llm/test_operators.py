@@ -148,6 +148,26 @@ def test_minhash_groups_against_all_pairs(spark, corpus):
     assert kept == {d for d, _ in rows} - {x for g in want for x in g[1:]}
 
 
+def test_hot_groups_give_the_same_rows(spark):
+    """More copies of a text than are joined in one task, and a bucket of several components in several blocks."""
+    rng = random.Random(8)
+    hot = prose(rng, 60)
+    near = " ".join(hot.split()[:-2])
+    rows = [(i, hot, "s") for i in range(5, 1300)] + [(None, hot, "s"), (5, hot, "s"), (4, near, "s"), (2000, prose(rng, 50), "s"), (2001, None, "s")]
+    got = minhash_dedup.near_duplicates(make(spark, rows)).toPandas()
+    assert len(got) == len(rows) - 2 and set(got["group_id"]) == {4} and set(got["group_size"]) == {len(rows) - 2} and got["keep"].sum() == 1
+    kept = [r.doc_id for r in minhash_dedup.drop_near_duplicates(make(spark, rows)).collect()]
+    assert sorted(kept) == [4, 2000, 2001]
+    kept = [r.doc_id for r in minhash_dedup.drop_near_duplicates(make(spark, rows[:-3])).collect()]
+    assert kept == [5]
+    # 40 members in one bucket, alike in pairs
+    sig = lambda k: np.array([rng.randrange(1 << 30) if i % 5 == k % 2 else k // 2 for i in range(160)], "<u4").tobytes()
+    sigs = [(i, bytearray(sig(i))) for i in range(40)]
+    split = spark.createDataFrame([(7, i, i) for i in range(40)], "key long, node long, root long")
+    edges = {(min(r.a, r.b), max(r.a, r.b)) for r in minhash_dedup._crossed(split, spark.createDataFrame(sigs, "node long, sig binary"), 0.5, block=7).collect()}
+    assert edges == {(i, i + 1) for i in range(0, 40, 2)}
+
+
 def test_components_are_those_of_union_find(spark):
     rng = random.Random(5)
     edges = [(rng.randrange(200), rng.randrange(200)) for _ in range(150)] + [(i, i + 1) for i in range(300, 340)]

@@ -40,6 +40,17 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
+def spread_join(rows: DataFrame, totals: DataFrame, key: str, total: int, how: str = "inner", most: int = 10_000) -> DataFrame:
+    """rows joined with totals (key, n, ..), where n is the number of rows of each key and total that of all.
+
+    A key that has over 1/most of all rows is joined by a broadcast of such keys, of which there can't be more than most, so its rows stay where
+    they are; the others are shuffled, and no task gets more than that share for one key.  rows and totals are read twice: written tables are best."""
+    bound = max(1000, total // most)
+    hot, cold = F.broadcast(totals.where(F.col("n") > bound)), totals.where(F.col("n") <= bound)
+    rest = rows.join(hot.select(key), key, "left_anti")
+    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+
+
 def discard(*dfs: DataFrame | None) -> None:
     """Deletes tables of materialize() that no later plan reads."""
     for df in dfs:

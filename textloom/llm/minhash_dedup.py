@@ -7,11 +7,15 @@ alternating large-star and small-star.
 
 Candidates of a band bucket are first compared with the bucket's smallest member only.
 A bucket that this leaves in several components has all its pairs across components compared
-as well, so the components are those of all-pairs comparison and no bucket is capped.
+as well, block by block, so the components are those of all-pairs comparison, no bucket is capped and none is one task.
+
+A key with a large share of the rows (a bucket, a root, a text with many copies) is never sorted or joined in
+one task: its totals come from aggregates and go to its rows by a broadcast of the few such keys.
 
 Defined results: a null, empty or wordless text is never a duplicate; texts that are equal
 are one node, so repeated rows are duplicates of each other; of each group the row
-with the smallest doc_id stays (null last), and one of several equal rows; extra columns are carried along.
+with the smallest doc_id stays (null last), and one of several equal rows; very long texts are read whole; empty tables give none;
+extra columns are carried along.  doc_id must be a number or a text of one.
 """
 
 from __future__ import annotations
@@ -20,15 +24,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ._tokens import grams, slices, words
-from ._util import discard, fresh, materialize, own
+from ._util import discard, fresh, materialize, own, spread_join
 
 PERMS, ROWS, SHINGLE, THRESHOLD = 160, 4, 3, 0.5
+BLOCK = 512  # members of a bucket that are compared with as many at once
 
 
 def _hashes(perms: int) -> tuple[np.ndarray, np.ndarray]:
@@ -98,7 +104,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star (each node's larger neighbours point to its smallest neighbour) and
     small-star (its smaller ones do), until the edges don't change; each round is written to
-    the shared folder.  Self-loops and repeated edges do nothing."""
+    the shared folder.  A node's smallest neighbour comes from an aggregate, not from a sort of all of its neighbours, so the root
+    of a component with a third of all nodes is no large task.  Self-loops and repeated edges do nothing."""
     e = materialize(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     while True:
@@ -107,13 +114,17 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = (now.n, now.s)
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        large = both.select("u", "v", F.least("u", F.min("v").over(W.partitionBy("u"))).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
+        least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        large = materialize(spread_join(both, least, "u", 2 * now.n).select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        # after large-star a node has at most as many smaller neighbours as edges led to it from smaller ones
+        small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", now.n).select("u", "v", "m")
         new = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
         old, e = e, materialize(new)
-        discard(old)
+        discard(old, large)
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(roots.select("root", "root").distinct())
+    out = materialize(roots.union(roots.select("root", "root").distinct()))
+    discard(e)
+    return out
 
 
 def band_keys(sigs: DataFrame, perms: int, rows: int) -> DataFrame:
@@ -121,12 +132,48 @@ def band_keys(sigs: DataFrame, perms: int, rows: int) -> DataFrame:
     return sigs.select("node", F.explode(F.array(*bands)).alias("key"))
 
 
+def _crossed(split: DataFrame, sig: DataFrame, threshold: float, block: int = BLOCK) -> DataFrame:
+    """Edges (a, b) between members of one bucket that are alike but in different components; split holds (key, node, root).
+
+    A bucket's members are dealt into blocks, and every two blocks are a task's row group of at most twice `block` members, compared as arrays; of
+    the alike ones, edges that connect them are given, not all pairs."""
+    size = split.groupBy("key").agg(F.count("*").alias("n"))
+    of = F.ceil(F.col("n") / block).cast("int")
+    dealt = spread_join(split, size, "key", split.count()).withColumn("of", of).withColumn("i", F.pmod(F.xxhash64("node"), of).cast("int"))
+    # block i meets block j in the group (smaller, larger)
+    pair = F.transform(F.sequence(F.lit(0), F.col("of") - 1), lambda j: F.struct(F.least("i", j).alias("lo"), F.greatest("i", j).alias("hi")))
+    members = dealt.join(sig, "node").select("key", "node", "root", "sig", F.explode(pair).alias("g")).select("key", "g.lo", "g.hi", "node", "root", "sig")
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        m = np.frombuffer(b"".join(p["sig"]), "<u4").reshape(len(p), -1)
+        node, root = p["node"].to_numpy(), p["root"].to_numpy()
+        out, of = [], {int(r): int(r) for r in root}
+
+        def find(x: int) -> int:
+            while of[x] != x:
+                of[x] = of[of[x]]
+                x = of[x]
+            return x
+
+        for i in range(len(p) - 1):
+            for j in i + 1 + np.flatnonzero((m[i + 1 :] == m[i]).mean(axis=1) >= threshold):
+                x, y = find(int(root[i])), find(int(root[j]))
+                if x != y:
+                    of[max(x, y)] = min(x, y)
+                    out.append((node[i], node[j]))
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    return members.groupBy("key", "lo", "hi").applyInPandas(run, "a long, b long").distinct()
+
+
 def groups(docs: DataFrame, perms: int = PERMS, rows: int = ROWS, shingle: int = SHINGLE, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
-    """node, root, doc_id of the documents that have a near or exact duplicate."""
+    """node, root, doc_id, row (a number of its own) of the documents that have a near or exact duplicate."""
     sigs = materialize(signatures(docs, perms, shingle, text))
-    one = sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("copies"))
-    nodes = materialize(one)
-    keyed = materialize(band_keys(nodes, perms, rows).select("node", "key", F.min("node").over(W.partitionBy("key")).alias("lead"), F.count("*").over(W.partitionBy("key")).alias("n")).where("n > 1").drop("n"))
+    nodes = materialize(sigs.groupBy("node").agg(F.first("sig").alias("sig"), F.count("*").alias("copies")))
+    keys = materialize(band_keys(nodes, perms, rows))
+    buckets = materialize(keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("n")).where("n > 1"))
+    some = nodes.count()
+    keyed = materialize(spread_join(keys, buckets, "key", some * (perms // rows)).select("node", "key", "lead"))
     sig = nodes.select("node", "sig")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -134,45 +181,56 @@ def groups(docs: DataFrame, perms: int = PERMS, rows: int = ROWS, shingle: int =
         return agreement(full).where(F.col("similarity") >= threshold).select("a", "b")
 
     edges = materialize(verified(keyed.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()))
-    comp = materialize(components(edges))
-    root = keyed.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-    split = materialize(root.withColumn("lo", F.min("root").over(W.partitionBy("key"))).withColumn("hi", F.max("root").over(W.partitionBy("key"))).where("lo <> hi").select("key", "node", "root"))
-    a, b = split.toDF("key", "a", "ra"), split.toDF("key", "b", "rb")
-    more = materialize(verified(a.join(b, "key").where("ra <> rb and a < b").select("a", "b").distinct()))
+    comp = components(edges)
+    root = materialize(keyed.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
+    mixed = root.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    split = materialize(spread_join(root, mixed, "key", some * (perms // rows)).select("key", "node", "root"))
+    more = materialize(_crossed(split, sig, threshold))
     if not more.isEmpty():
         discard(comp)
-        comp = materialize(components(edges.union(more)))
+        comp = components(edges.union(more))
     alike = nodes.where("copies > 1").select("node")
-    found = comp.select("node", "root").unionByName(alike.join(comp, "node", "left_anti").select("node", F.col("node").alias("root")))
-    out = materialize(sigs.select("node", "doc_id").join(found, "node"))
-    discard(sigs, nodes, keyed, edges, comp, split, more)
+    found = materialize(comp.select("node", "root").unionByName(alike.join(comp, "node", "left_anti").select("node", F.col("node").alias("root"))).join(nodes.select("node", F.col("copies").alias("n")), "node"))
+    out = materialize(spread_join(sigs.select("node", "doc_id"), found, "node", sigs.count()).select("node", "root", "doc_id", F.monotonically_increasing_id().alias("row")))
+    discard(sigs, nodes, keys, buckets, keyed, edges, comp, root, split, more, found)
     return out
 
 
+def _firsts(g: DataFrame) -> DataFrame:
+    """root, n, first (the row that stays: of the smallest doc_id, null last) of each group."""
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node", "row"))
+    return g.groupBy("root").agg(F.count("*").alias("n"), first.alias("first"))
+
+
 def near_duplicates(docs: DataFrame, **params) -> DataFrame:
     """doc_id, group_id (the group's smallest doc_id, the one that stays), group_size, keep: all members of groups."""
     g = groups(docs, **params)
-    w = W.partitionBy("root")
-    ranked = g.select("doc_id", F.min("doc_id").over(w).alias("group_id"), F.count("*").over(w).alias("group_size"), F.row_number().over(w.orderBy(F.col("doc_id").asc_nulls_last(), "node")).alias("nth"))
-    return ranked.select("doc_id", "group_id", "group_size", (F.col("nth") == 1).alias("keep"))
+    all_ = spread_join(g, _firsts(g), "root", g.count())
+    return all_.select("doc_id", F.col("first.doc_id").alias("group_id"), F.col("n").alias("group_size"), (F.col("row") == F.col("first.row")).alias("keep"))
 
 
 def drop_near_duplicates(docs: DataFrame, text: str = "text", **params) -> DataFrame:
     """docs without all but one document of each group; all columns are kept."""
     g = groups(docs, text=text, **params)
-    w = W.partitionBy("root").orderBy(F.col("doc_id").asc_nulls_last(), "node")
-    slim = g.withColumn("nth", F.row_number().over(w))
-    # one row for each text of a group: the doc_id that stays, or none of them
-    verdict = slim.groupBy("node").agg(F.max(F.when(F.col("nth") == 1, F.struct("doc_id"))).alias("stays"))
-    node, seen, stays, nth = fresh(docs, "node", "seen", "stays", "nth")
-    verdict = verdict.select(F.col("node").alias(node), F.col("stays").alias(stays), F.lit(True).alias(seen))
-    joined = docs.withColumn(node, F.xxhash64(f"`{text}`")).join(verdict.hint("shuffle_hash"), node, "left")
-    dup = F.col(seen) & F.col(text).isNotNull()
-    kept = joined.where(F.coalesce(~dup, F.lit(True)) | F.col(f"{stays}.doc_id").eqNullSafe(F.col("doc_id").cast("long")) & F.col(stays).isNotNull())
-    # rows that are not in a group are each a partition of their own
-    lone = F.when(F.col(seen), F.lit(0)).otherwise(F.monotonically_increasing_id())
-    first = kept.withColumn(nth, F.row_number().over(W.partitionBy(node, lone).orderBy("doc_id")))
-    return first.where(F.col(nth) == 1).select(*[F.col(f"`{c}`") for c in docs.columns])
+    # one row for each text of a group: its copies, and the doc_id that stays if it is this text's
+    stay = _firsts(g).select(F.col("first.node").alias("node"), F.struct(F.col("first.doc_id").alias("id")).alias("stays"))
+    verdict = materialize(g.groupBy("node").agg(F.count("*").alias("n")).join(stay, "node", "left"))
+    node, stays, n, id_ = fresh(docs, "node", "stays", "n", "id")
+    total = verdict.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    bound = max(1000, total // 10_000)  # a text with more copies is one of at most 10,000
+    named = verdict.select(F.col("node").alias(node), F.col("n").alias(n), F.col("stays").alias(stays))
+    hot, cold = F.broadcast(named.where(F.col(n) > bound)), named.where(F.col(n) <= bound)
+    rows = docs.withColumn(node, F.xxhash64(f"`{text}`")).withColumn(id_, F.col("doc_id").cast("long"))
+    many = rows.join(hot, node)
+    few = rows.join(hot.select(node), node, "left_anti").join(cold.hint("shuffle_hash"), node, "left")
+    held = F.col(n).isNotNull() & F.col(text).isNotNull()
+    stayed = held & F.col(stays).isNotNull() & F.col(f"{stays}.id").eqNullSafe(F.col(id_))
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    # equal rows of the text that stays are one; those of the others are gone
+    def once(df: DataFrame) -> DataFrame:
+        return df.where(stayed).dropDuplicates([node]).select(*cols)
+
+    return few.where(~held).select(*cols).unionByName(once(few)).unionByName(once(many))
 
 
 def brute_force(rows: list[tuple], perms: int = PERMS, shingle: int = SHINGLE, threshold: float = THRESHOLD) -> dict[int, int]:
