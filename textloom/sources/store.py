@@ -79,6 +79,11 @@ def stored(f: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame], DataFra
     return run
 
 
+def derive(name: str, docs: DataFrame) -> DataFrame:
+    """A table of TABLES, from the texts."""
+    return _makers[name](docs)
+
+
 def attach(docs: DataFrame, index: Index) -> DataFrame:
     docs._textloom_index = index
     return docs
