@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..session import prepare
 
 _written: list[tuple[SparkSession, str]] = []
+_kept: list[tuple[SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,15 +41,19 @@ def materialize(df: DataFrame) -> DataFrame:
     return back
 
 
-def spread_join(rows: DataFrame, totals: DataFrame, key: str, total: int, how: str = "inner", most: int = 10_000) -> DataFrame:
+FLOOR = 100_000  # rows of one key that any task can hold
+
+
+def spread_join(rows: DataFrame, totals: DataFrame, key: str, total: int, most: int = 10_000) -> DataFrame:
     """rows joined with totals (key, n, ..), where n is the number of rows of each key and total that of all.
 
-    A key that has over 1/most of all rows is joined by a broadcast of such keys, of which there can't be more than most, so its rows stay where
+    A key that has over 1/most of all rows (and over FLOOR) is joined by a broadcast of such keys, of which there can't be more than most, so its rows stay where
     they are; the others are shuffled, and no task gets more than that share for one key.  rows and totals are read twice: written tables are best."""
-    bound = max(1000, total // most)
+    bound = max(FLOOR, total // most)
+    if total <= bound:
+        return rows.join(totals, key)
     hot, cold = F.broadcast(totals.where(F.col("n") > bound)), totals.where(F.col("n") <= bound)
-    rest = rows.join(hot.select(key), key, "left_anti")
-    return rows.join(hot, key).unionByName(rest.join(cold, key, how))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(cold, key))
 
 
 def discard(*dfs: DataFrame | None) -> None:
@@ -70,12 +75,25 @@ def discard_all() -> None:
             return
 
 
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that no later plan reads."""
+    _delete(spark, path)
+
+
+def until_exit(spark: SparkSession, path: str) -> None:
+    """Has a result's folder deleted when the program ends, not before: a caller may still read it."""
+    _kept.append((spark, path))
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
-atexit.register(discard_all)
+@atexit.register
+def _at_exit() -> None:
+    _written.extend(_kept)
+    discard_all()
 
 
 def fresh(df: DataFrame, *stems: str) -> list[str]:
