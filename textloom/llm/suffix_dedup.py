@@ -17,7 +17,8 @@ The occurrence with the smallest (doc_id, position) is the first of its run; a l
 overlaps the first, in a text that repeats itself, doesn't count.
 
 Defined results: null, empty and shorter texts have no passages; equal rows (doc_id and text)
-are one document; a null doc_id comes last; extra columns are ignored.
+are one document; a null doc_id comes last; very long texts are read whole; an empty table gives no rows; extra columns are ignored by repeated() and
+carried along by drop_passages().  doc_id must be a number or a text of one.
 """
 
 from __future__ import annotations
@@ -25,13 +26,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ._tokens import grams, slices, words
-from ._util import discard, materialize
+from ._tokens import char_offsets, grams, slices, words
+from ._util import discard, fresh, materialize
 
 LEAST, GRAM = 50, 8
 FLUSH_WORDS = 1 << 20
@@ -52,14 +54,18 @@ def contexts(h: np.ndarray, of: np.ndarray, least: int, gram: int) -> tuple[np.n
     starts = np.flatnonzero(np.repeat(of[1:], size) - np.arange(n) >= least)
     if not len(starts):
         return none.astype(np.uint64), none, none, none
-    bits = np.uint64(max(22, int(n).bit_length()))
-    low = (g >> bits << bits) | np.arange(n, dtype=np.uint64)
-    # minimum over a window of span by doubling
-    k, m = 1, low
+    # the smallest gram of a window of span, the leftmost of equals, by doubling
+    low, where, k = g, np.arange(n), 1
+
+    def smaller(x: slice, y: slice) -> tuple[np.ndarray, np.ndarray]:
+        right = low[y] < low[x]
+        return np.where(right, low[y], low[x]), np.where(right, where[y], where[x])
+
     while 2 * k <= span:
-        m = np.minimum(m[: len(m) - k], m[k:])
+        low, where = smaller(slice(None, len(low) - k), slice(k, None))
         k *= 2
-    at = (np.minimum(m[starts], m[starts + span - k]) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    right = low[starts + span - k] < low[starts]
+    at = np.where(right, where[starts + span - k], where[starts])
     doc = np.repeat(np.arange(len(size)), size)[starts]
     cut = np.flatnonzero((np.diff(at) != 0) | (np.diff(starts) != 1) | (np.diff(doc) != 0)) + 1
     lo, hi = np.concatenate([[0], cut]), np.concatenate([cut, [len(starts)]])
@@ -290,6 +296,33 @@ def repeated(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame
     return out
 
 
+def drop_passages(docs: DataFrame, least: int = LEAST, gram: int = GRAM) -> DataFrame:
+    """docs with the later copies of repeated passages deleted from text; what is not words between two of them goes with them."""
+    node, cuts = fresh(docs, "node", "cuts")
+    later = repeated(docs.select("doc_id", "text"), least, gram).where("not is_first")
+    marks = later.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("start_word", "end_word"))).alias(cuts)).withColumnRenamed("node", node)
+
+    @F.pandas_udf("string")
+    def without(text: pd.Series, cut: pd.Series) -> pd.Series:
+        return pd.Series([_without(t, [(c["start_word"], c["end_word"]) for c in x]) for t, x in zip(text, cut)])
+
+    joined = docs.withColumn(node, F.xxhash64("doc_id", "text")).join(marks.hint("shuffle_hash"), node, "left")
+    cols = [F.col(f"`{c}`") for c in docs.columns]
+    same, edited = joined.where(F.col(cuts).isNull()), joined.where(F.col(cuts).isNotNull())
+    return same.select(*cols).unionByName(edited.withColumn("text", without("text", cuts)).select(*cols))
+
+
+def _without(text: str, cuts: list[tuple[int, int]]) -> str:
+    """text without some runs of words [a, z)."""
+    w = words(pa.array([text], pa.string()))
+    out, at = [], 0
+    for a, z in cuts:
+        start, end = char_offsets(w.data, 0, np.array([w.start[a], w.end[z - 1]]))
+        out.append(text[at : max(at, start)])
+        at = max(at, end)
+    return "".join([*out, text[at:]])
+
+
 def brute_force(rows: list[tuple], least: int) -> set[tuple]:
     """(doc_id, word, is_first) of each word of a repeated run, by a dictionary of all runs; for tests."""
     runs: dict[tuple, list] = {}
