@@ -6,12 +6,13 @@ words (with a margin of the longest item on both sides) are aligned with the ite
 the score of the best local alignment, divided by that of the item with itself, must reach `threshold`.
 A region that lacks too many of the item's words to reach it isn't aligned: each word of the item adds at most a match.
 
-One pass over the documents: a bit map of the items' seeds, of fixed size whatever
-the benchmark's, lets few other runs through; the exact join is a shuffle join on the seed.
+One pass over the documents: a bit map of the items' seeds, of 16 bits and more for each up to `MOST_BITS` (128 MB to every
+executor, enough for 67 million seeds; beyond, more other runs come through to the join), lets few other runs through; the exact join is a shuffle join on the seed.
 
 Defined results: null or empty texts and items of fewer than n words match nothing; repeated documents or
 items give one row per (doc_id, item_id), with the best score; a null in
-doc_id is a value like others, an item without item_id is left out; extra columns are carried along by drop_contaminated().
+doc_id is a value like others, an item without item_id is left out; very long texts are read whole; of equal scores the earliest passage is given;
+empty tables give no rows; extra columns are carried along by drop_contaminated().  doc_id and item_id must be numbers or texts of them.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from ._util import discard, fresh, materialize, own
 
 N, THRESHOLD = 4, 0.5
 MATCH, MISMATCH, GAP = 2, -1, -1
-BITS = 1 << 23
+BITS, MOST_BITS = 1 << 23, 1 << 30
 
 
 def items_of(benchmark: DataFrame, n: int) -> DataFrame:
@@ -55,6 +56,10 @@ def items_of(benchmark: DataFrame, n: int) -> DataFrame:
 def bit_map(seeds: DataFrame, bits: int = BITS) -> np.ndarray:
     """The seeds' hashes modulo bits, as packed bits; each task sends its own, of one fixed size."""
 
+    n = seeds.count()
+    while bits < MOST_BITS and bits < 16 * n:
+        bits *= 2
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = np.zeros(bits, bool)
         for b in batches:
@@ -76,7 +81,7 @@ def regions(docs: DataFrame, known: np.ndarray, n: int, margin: int) -> DataFram
     """doc_id, node, region (the words around a cluster of seeds), seeds within it: for every document."""
     bits = len(known) * 8
     sc = docs.sparkSession.sparkContext
-    sent = sc.broadcast(np.unpackbits(known).astype(bool))
+    sent = sc.broadcast(known)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bit = sent.value
@@ -86,7 +91,8 @@ def regions(docs: DataFrame, known: np.ndarray, n: int, margin: int) -> DataFram
                 w = words(text[i:j])
                 h = w.hash
                 g, first, _ = grams(h, w.of, n)
-                hit = np.flatnonzero(bit[g % np.uint64(bits)])
+                at = g % np.uint64(bits)
+                hit = np.flatnonzero(bit[at >> np.uint64(3)] >> (np.uint8(7) - (at & np.uint64(7)).astype(np.uint8)) & np.uint8(1))
                 if not len(hit):
                     continue
                 g, first = g[hit], first[hit]
