@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from textloom.llm import chat_format, decontam, html_extract, line_dedup, minhash_dedup, mixing, quality_rules, sharding, suffix_dedup, toxicity
+from textloom.llm import _util, chat_format, decontam, html_extract, line_dedup, minhash_dedup, mixing, quality_rules, sharding, suffix_dedup, toxicity
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -148,8 +148,9 @@ def test_minhash_groups_against_all_pairs(spark, corpus):
     assert kept == {d for d, _ in rows} - {x for g in want for x in g[1:]}
 
 
-def test_hot_groups_give_the_same_rows(spark):
+def test_hot_groups_give_the_same_rows(spark, monkeypatch):
     """More copies of a text than are joined in one task, and a bucket of several components in several blocks."""
+    monkeypatch.setattr(_util, "FLOOR", 20)
     rng = random.Random(8)
     hot = prose(rng, 60)
     near = " ".join(hot.split()[:-2])
@@ -207,6 +208,16 @@ def test_repeated_passages_against_all_runs(spark, corpus, least):
     assert {(r.doc_id, k, r.is_first) for r in got for k in range(r.start_word, r.end_word)} == want and want
 
 
+def test_later_passages_are_deleted(spark, corpus):
+    rng = random.Random(12)
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, f"Begin {passage}, and on", "s"), (2, f"É start. {passage.upper()}! Rest stays", "s"), (3, prose(rng, 80), "s"), (None, passage, "s"), (4, None, "s"), (5, "", "s")]
+    got = {r.doc_id: r.text for r in suffix_dedup.drop_passages(make(spark, rows).withColumns({c: F.lit(c) for c in CLASH})).collect()}
+    assert got == {1: rows[0][1], 2: "É start. ! Rest stays", 3: rows[2][1], None: "", 4: None, 5: ""}
+    left = suffix_dedup.repeated(suffix_dedup.drop_passages(make(spark, corpus))).count()
+    assert left == 0 and suffix_dedup.repeated(make(spark, corpus)).count() > 0
+
+
 def test_line_runs_against_all_runs(spark):
     rng = random.Random(4)
     rows = [(i, "\n".join(rng.choice(["", " ", *(f"line {k}" for k in range(12))]) for _ in range(rng.randrange(1, 14))), "s") for i in range(40)]
@@ -281,6 +292,63 @@ def test_chats_against_a_token_at_a_time(spark):
     assert sorted((r.part, r.n_turns) for r in parts if r.conv_id == 5) == [(0, 4), (1, 4), (2, 2)] and sum(r.conv_id is None for r in parts) == 3
 
 
+def plain_votes(t):
+    """The rules of one text in plain Python."""
+    words = [m.group() for m in re.finditer(r"(?:[0-9A-Za-z_]|[^\x00-\xbf\u2000-\u207f\u3000-\u303f])+", (t or "").lower())]
+    n, t = len(words), t or ""
+    if not n:
+        return [-1] * 12
+    raw = t.encode()
+    odd = set(b"#$%&*@^~=+<>{}[]|\\/_")
+    letters = sum(65 <= c <= 90 or 97 <= c <= 122 for c in raw)
+    pairs = list(zip(raw, raw[1:] + b"\0"))
+    high = lambda x, good, bad: -1 if x > bad else 1 if x <= good else 0
+    size = sum(len(w.encode()) for w in words) / n
+    variety = len(set(words)) / math.sqrt(n)
+    sentences = sum(c in b".?!" for c in raw) / n
+    grams = [tuple(words[i : i + 4]) for i in range(n - 3)]
+    brief = n < 20
+    return [
+        -1 if n < 3 else 1 if n >= 40 else 0,
+        0 if letters < 20 else high(sum(65 <= c <= 90 for c in raw) / letters, 0.15, 0.4),
+        high(sum(c in odd for c in raw) / n, 0.02, 0.15),
+        0 if brief else -1 if size > 14 or size < 2.5 else 1 if 3 < size < 10 else 0,
+        0 if brief else high(sum(a == b for a, b in zip(words, words[1:])) / n, 0.02, 0.15),
+        0 if brief else -1 if variety < 1.5 else 1 if variety > 3 else 0,
+        high(sum(c == ord("|") for c in raw) / n, 0.005, 0.15),
+        high(sum(a == b == ord("!") for a, b in pairs) / n, 0.01, 0.15),
+        0 if brief else -1 if sentences < 0.005 or sentences > 0.6 else 1 if 0.03 < sentences < 0.35 else 0,
+        0 if len(grams) < 20 else high(1 - len(set(grams)) / len(grams), 0.1, 0.35),
+        high(sum(a in odd and a == b for a, b in pairs) / n, 0.01, 0.1),
+        high(sum(a in odd and b not in odd for a, b in pairs) / n, 0.02, 0.2),
+    ]
+
+
+def test_posteriors_against_plain_expectation_maximisation(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    rows = docs.collect()
+    v = {r.doc_id: plain_votes(r.text) for r in rows}
+    some = [r.doc_id for r in rows if (r.text or "").split() and plain_votes(r.text) != [-1] * 12 or re.search(r"\w", r.text or "")]
+    q = {d: 1 / (1 + math.exp(2.0 * v[d].count(-1) - 2.0)) for d in some}
+    for _ in range(200):
+        p = [[{}, {}] for _ in range(12)]
+        for r in range(12):
+            for c in (0, 1):
+                w = {x: sum((q[d] if c else 1 - q[d]) for d in some if v[d][r] == x) + 0.5 for x in (-1, 1)}
+                p[r][c] = {0: 1.0, **{x: w[x] / (w[-1] + w[1]) for x in w}}
+        prior = min(max(sum(q.values()) / len(some), 1e-3), 1 - 1e-3)
+        new = {d: 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + sum(math.log(p[r][1][x] / p[r][0][x]) for r, x in enumerate(v[d]))))) for d in some}
+        done = max(abs(new[d] - q[d]) for d in some) < 1e-9
+        if done:
+            break
+        q = new
+    got = quality_rules.posteriors(docs).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert [r[f"vote_{x}"] for x in quality_rules.RULES] == v[r.doc_id]
+        assert abs(r.posterior - (new[r.doc_id] if r.doc_id in new else 0.0)) < 1e-6
+
+
 def test_quality_on_labels(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     kept = {r.doc_id for r in quality_rules.keep_good(docs).collect()}
@@ -446,6 +514,7 @@ def test_odd_rows(spark):
     assert decontam.drop_contaminated(docs, bench).columns == docs.columns
     good = quality_rules.posteriors(docs).collect()
     assert len(good) == n and all(r.posterior == 0 for r in good if r.doc_id in (1, 2, 3))
+    assert quality_rules.keep_good(docs).columns == docs.columns and suffix_dedup.drop_passages(docs).count() == n
     mixed = mixing.mix_documents(docs, share=1.0)
     assert mixed.columns == docs.columns and mixed.count() == n
     labels = spark.createDataFrame([(4, 1, 1), (6, 1, 0), (None, 0, 1), (5, None, None)], "doc_id long, quality int, toxic int")
@@ -471,4 +540,7 @@ def test_empty_tables(spark):
         assert df.count() == 0
     full = odd(spark)
     assert decontam.contaminated(full, bench).count() == 0
+    for df in (line_dedup.drop_lines(docs), suffix_dedup.drop_passages(docs), decontam.drop_contaminated(docs, bench), quality_rules.keep_good(docs), mixing.mix_documents(docs), toxicity.drop_toxic(docs, toxicity.model(docs, labels))):
+        assert df.count() == 0 and df.columns == docs.columns
+    assert decontam.drop_contaminated(full, bench).count() == full.count() == toxicity.drop_toxic(full, toxicity.model(full, labels)).count()
     assert toxicity.score(full, toxicity.model(full, labels)).where("toxic").count() == 0

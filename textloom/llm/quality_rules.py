@@ -8,7 +8,8 @@ documents enter, as the counts of the patterns of votes; there are at most
 3 ** 12 of them, however many documents.
 
 Defined results: a null, empty or wordless text has posterior 0; equal texts get equal
-posteriors; an empty table gives an empty result; extra columns are carried along by keep_good().
+posteriors, and one of exactly `keep` stays; very long texts are read whole; an empty table gives an empty result; extra columns are carried along
+by keep_good().  doc_id must be a number or a text of one.
 """
 
 from __future__ import annotations

@@ -9,7 +9,7 @@ is its share of all weights.
 A projection in whole-stage code: no shuffle, no Python, and no state but the tree.
 
 Defined results: the key is doc_id, where that is null the text's md5, and '' where both are;
-equal keys go together; children of weight 0 get nothing; a tree without positive weights is an
+equal keys go together; of equal draws the child that is named first wins; an empty table gives no rows; children of weight 0 get nothing; a tree without positive weights is an
 error; columns named region, rack or shard are replaced, others carried along.
 """
 
