@@ -2,6 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet
 and read again as the next stage's docs.  All but the last return the columns of documents.
+
+Defined results, of each stage and of the whole: a null or empty text is kept by the first three stages (it is not toxic, no copy and holds no
+benchmark item) and has no tokens in mixing, where it goes with its block; a null doc_id is a value like others, and a null source a source
+of its own; of repeated rows, which are copies of each other, one stays (rows without words are no copies and all stay); of tied copies the smallest doc_id stays,
+null last; very long texts are read whole; an empty table gives no rows; extra columns, whatever their names, are carried
+along, but region, rack and shard are replaced by the last stage's.
 """
 
 from __future__ import annotations
@@ -11,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from textloom.llm import decontam, minhash_dedup, mixing, sharding, toxicity
-from textloom.llm._util import discard_all, shared_dir, table
+from textloom.llm._util import delete, discard_all, shared_dir, table, until_exit
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,10 +58,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    return through(spark, table(spark, sf_dir, "documents"), sf_dir)
+
+
+def through(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """docs through all stages; a stage's table is deleted when the next one's is written, the last one's when the program ends."""
     at = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    until_exit(spark, at)
+    last = None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
         discard_all()
-        docs = spark.read.parquet(f"{at}/{name}")
+        if last:
+            delete(spark, f"{at}/{last}")
+        docs, last = spark.read.parquet(f"{at}/{name}"), name
     return docs
