@@ -13,7 +13,7 @@ from textloom.plans.oracle import ORACLE
 from textloom.plans.queries import QUERIES, raw
 
 SF = "/root/testdata/sf0.001"
-CHECKED = ("bm25_topk", "idf", "doc_terms", "postings_count", "query_diagnostics", "ranking_metrics", "canonicality", "headings", "links", "edges", "inbound_counts", "exact_dupes", "budget_prefix", "dedupe_content")
+CHECKED = ("bm25_topk", "idf", "doc_terms", "postings_count", "query_diagnostics", "ranking_metrics", "canonicality", "headings", "links", "edges", "inbound_counts", "exact_dupes", "budget_prefix", "dedupe_content", "sections", "paths_d3", "fix_links", "fix_renamed", "fix_applied", "near_sections", "similar_all", "bm25_topk_all", "section_references", "consolidation")
 
 
 def one(spark, column):

@@ -2,23 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.store import temporary as cut
+
+__all__ = ["components", "cut"]
+
 
-def cut(df: DataFrame) -> DataFrame:
-    """df as a checkpoint in the folder of spark.checkpoint.dir; a temporary one only where that is unset and Spark is local."""
-    spark: SparkSession = df.sparkSession
-    sc = spark.sparkContext
-    if not sc.getCheckpointDir():
-        found = spark.conf.get("spark.checkpoint.dir", None)
-        if not found and not sc.master.startswith("local["):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(found or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
+def _least(pairs: DataFrame) -> DataFrame:
+    """pairs (u, v) with m, u's smallest v: by an aggregate, as a node may have very many neighbours."""
+    return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -31,8 +25,8 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = (now.n, now.s)
         both = e.union(e.select("v", "u")).toDF("u", "v")
-        large = both.select("u", "v", F.least("u", F.min("v").over(W.partitionBy("u"))).alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = large.select("u", "v", F.min("v").over(W.partitionBy("u")).alias("m"))
+        large = _least(both).select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        small = _least(large)
         e = cut(small.select(F.inline(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v"))))).where("u <> v").distinct())
     roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.union(roots.select("root", "root").distinct())

@@ -10,7 +10,7 @@ from .. import constants as K
 from ..functions import text as T
 from ..sources.store import stored
 from . import index, structure
-from .iterate import components
+from .iterate import components, cut
 
 
 def keywords(docs: DataFrame) -> DataFrame:
@@ -141,6 +141,57 @@ def similar(docs: DataFrame, path: str, k: int = 5, threshold: float = 0.3) -> D
     return _rounded(s.where(F.col("combined") >= threshold).orderBy(F.desc("combined"), "path").limit(k), "jaccard", "simhash")
 
 
+def similar_all(docs: DataFrame, asked: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
+    """query, path, jaccard, simhash, combined: similar() for every document of asked (path), each against all others.
+
+    Blocks of questions meet blocks of documents; a task counts the terms that any two of them share by arrays and gives each question's k best of the block."""
+    sig = signatures(docs).select("path", F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.xxhash64(t)).alias("terms"), "sim_lo", "sim_hi")
+    names = ["path", "terms", "sim_lo", "sim_hi"]
+    questions = _blocks(sig.join(asked.select("path"), "path", "left_semi"), names, 256).select(*[F.col(c).alias(f"q_{c}") for c in names])
+    pairs = _blocks(sig, names, 1024).crossJoin(questions)
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def side(b, i, prefix):
+            col = lambda c: b.column(prefix + c)[i].values
+            size = np.diff(col("terms").offsets.to_numpy())
+            bits = col("sim_lo").to_numpy().astype(np.uint64) | col("sim_hi").to_numpy().astype(np.uint64) << np.uint64(32)
+            return np.array(col("path").to_pylist(), object), size, col("terms").flatten().to_numpy(), np.repeat(np.arange(len(size)), size), bits
+
+        for b in batches:
+            for i in range(len(b)):
+                path, n, terms, of, bits = side(b, i, "")
+                q_path, q_n, q_terms, q_of, q_bits = side(b, i, "q_")
+                order = np.argsort(q_terms, kind="stable")
+                q_terms, q_of = q_terms[order], q_of[order]
+                lo, hi = np.searchsorted(q_terms, terms, "left"), np.searchsorted(q_terms, terms, "right")
+                both = np.zeros(len(q_path) * len(path), np.int64)
+                for at in range(0, len(terms), 1 << 16):  # a slice of occurrences at a time bounds what is laid out
+                    a, z, d = lo[at : at + (1 << 16)], hi[at : at + (1 << 16)], of[at : at + (1 << 16)]
+                    many = z - a
+                    where = np.repeat(a - np.concatenate([[0], np.cumsum(many)[:-1]]), many) + np.arange(many.sum())
+                    both += np.bincount(q_of[where] * len(path) + np.repeat(d, many), minlength=len(both))
+                both = both.reshape(len(q_path), len(path))
+                union = q_n[:, None] + n[None, :] - both
+                jac = np.where((q_n[:, None] > 0) & (n[None, :] > 0), both / np.maximum(union, 1), 0.0)
+                sim = 1 - np.bitwise_count(q_bits[:, None] ^ bits[None, :]) / 64
+                total = np.round(0.6 * jac + 0.4 * sim, 6)
+                total[q_path[:, None] == path[None, :]] = -1
+                out = []
+                for x in range(len(q_path)):
+                    ok = np.flatnonzero(total[x] >= threshold)
+                    best = ok[np.lexsort((path[ok].astype(str), -total[x][ok]))][:k]
+                    out += [(q_path[x], path[y], jac[x, y], sim[x, y], total[x, y]) for y in best]
+                cols = list(zip(*out)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=["query", "path", "jaccard", "simhash", "combined"])
+
+    found = pairs.mapInArrow(run, "query string, path string, jaccard double, simhash double, combined double")
+    rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("combined"), "path"))
+    return _rounded(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "jaccard", "simhash")
+
+
 def diff(docs: DataFrame, path1: str, path2: str) -> DataFrame:
     """term, side of two documents' keywords: shared, or only in one."""
     k = keywords(docs)
@@ -163,7 +214,7 @@ def consolidation(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
     """path, canonical, similarity: groups of duplicates with the document of most authority in each.
 
     similarity is the mean over the group's pairs that have the canonical document in them."""
-    pairs = dupes(docs, threshold).select("path1", "path2", "combined").persist()
+    pairs = cut(dupes(docs, threshold).select("path1", "path2", "combined"))
     comp = components(pairs.select(F.col("path1").alias("a"), F.col("path2").alias("b")))
     w = W.partitionBy("root")
     best = F.first("node").over(w.orderBy(T.canonicality(F.col("node")).desc(), "node").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
@@ -176,10 +227,10 @@ def consolidation(docs: DataFrame, threshold: float = 0.7) -> DataFrame:
 BLOCK = 4096  # fingerprints that are compared with as many others at once
 
 
-def _blocks(values: DataFrame, names: list[str]) -> DataFrame:
-    """Rows dealt by hash into blocks of about BLOCK, each one row of arrays."""
-    n = values.agg(F.ceil(F.count("*") / BLOCK).alias("of"))
-    dealt = values.crossJoin(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64(*names), F.greatest("of", F.lit(1))))
+def _blocks(values: DataFrame, names: list[str], size: int = BLOCK) -> DataFrame:
+    """Rows dealt by hash into blocks of about size, each one row of arrays."""
+    n = values.agg(F.ceil(F.count("*") / size).alias("of"))
+    dealt = values.crossJoin(F.broadcast(n)).withColumn("block", F.pmod(F.xxhash64(names[0], names[-1]), F.greatest("of", F.lit(1))))
     return dealt.groupBy("block").agg(F.collect_list(F.struct(*names)).alias("x")).select(*[F.col(f"x.{c}").alias(c) for c in names])
 
 

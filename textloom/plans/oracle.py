@@ -191,6 +191,7 @@ ORACLE: dict[str, str] = {
     "dupes": sql("SELECT path1, path2, round(jaccard, 6) AS jaccard, round(simhash, 6) AS simhash, round(minhash, 6) AS minhash, combined FROM dup WHERE combined >= 0.35", "dup"),
     "dupes_group": sql("SELECT path1 AS first, count(*) AS members, max(combined) AS best FROM dup WHERE combined >= 0.35 GROUP BY path1", "dup"),
     "similar": sql(f"SELECT * FROM (SELECT s.path, round(j, 6) AS jaccard, round(h, 6) AS simhash, round(0.6::DOUBLE * j + 0.4::DOUBLE * h, 6) AS combined FROM (SELECT d.path, coalesce(len(list_intersect(a.terms, b.terms))::DOUBLE / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))), 0) AS j, 1 - (bit_count(xor(u.sim_lo, v.sim_lo)) + bit_count(xor(u.sim_hi, v.sim_hi))) / 64.0::DOUBLE AS h FROM docs d LEFT JOIN sets b USING (path) JOIN sim v USING (path) CROSS JOIN (SELECT * FROM sets WHERE path = {SELF}) a JOIN sim u ON u.path = a.path WHERE d.path <> {SELF}) s) WHERE combined >= 0.3 ORDER BY combined DESC, path LIMIT 5", "sets sim"),
+    "similar_all": sql("SELECT query, path, round(j, 6) AS jaccard, round(h, 6) AS simhash, combined FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY combined DESC, path) AS r FROM (SELECT *, round(0.6::DOUBLE * j + 0.4::DOUBLE * h, 6) AS combined FROM (SELECT e.path AS query, d.path, coalesce(len(list_intersect(a.terms, b.terms))::DOUBLE / (len(a.terms) + len(b.terms) - len(list_intersect(a.terms, b.terms))), 0) AS j, 1 - (bit_count(xor(u.sim_lo, v.sim_lo)) + bit_count(xor(u.sim_hi, v.sim_hi))) / 64.0::DOUBLE AS h FROM docs e JOIN docs d ON d.path <> e.path LEFT JOIN sets a ON a.path = e.path LEFT JOIN sets b ON b.path = d.path JOIN sim u ON u.path = e.path JOIN sim v ON v.path = d.path WHERE e.doc_id % 20 = 0)) WHERE combined >= 0.3) WHERE r <= 5", "sets sim"),
     "diff_keywords": sql(f"SELECT term, CASE WHEN a AND b THEN 'shared' WHEN a THEN 'only1' ELSE 'only2' END AS side FROM (SELECT term, bool_or(path = {SELF}) AS a, bool_or(path = {OTHER}) AS b FROM kw WHERE path IN ({SELF}, {OTHER}) GROUP BY term)", "kw", MD_CTE),
     "diff_headings": sql(f"SELECT lower(text) AS heading FROM heads WHERE path = {TWINS[0]} INTERSECT SELECT lower(text) FROM heads WHERE path = {TWINS[1]}", "heads", MD_CTE),
     "exact_dupes": sql("SELECT min(path) AS first, count(*) AS copies FROM docs GROUP BY content HAVING count(*) > 1", ""),

@@ -139,6 +139,7 @@ QUERIES |= {
     "dupes": over(raw, similarity.dupes),
     "dupes_group": over(raw, similarity.dupes_grouped),
     "similar": over(raw, similarity.similar, SELF),
+    "similar_all": lambda s, d: similarity.similar_all(raw(s, d), raw(s, d).where("doc_id % 20 = 0")),
     "diff_keywords": over(md, similarity.diff, SELF, OTHER),
     "diff_headings": over(md, similarity.diff_headings, *TWINS),
     "exact_dupes": over(raw, similarity.exact_dupes),

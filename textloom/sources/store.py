@@ -125,6 +125,15 @@ def indexed(docs: DataFrame, name: str) -> DataFrame:
     return attach(spark.read.parquet(f"{folder}/docs"), Index(spark, folder, True))
 
 
+def temporary(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: the lineage ends in files that outlive executors and are deleted when the session ends."""
+    spark = df.sparkSession
+    folder = f"{shared_dir(spark)}/textloom-{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    _folders.append((spark, folder))
+    return spark.read.schema(df.schema).parquet(folder)
+
+
 @atexit.register
 def _forget() -> None:
     for spark, folder in _folders:
