@@ -183,7 +183,9 @@ def groups(docs: DataFrame, perms: int = PERMS, rows: int = ROWS, shingle: int =
     edges = materialize(verified(keyed.where("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct()))
     comp = components(edges)
     root = materialize(keyed.join(comp, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")))
-    mixed = root.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("key", "n")
+    # copies share many buckets: of buckets with the same members one is compared
+    all_of = [F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("members")]
+    mixed = root.groupBy("key").agg(*all_of).where("lo <> hi").groupBy("lo", "hi", "n", "members").agg(F.min("key").alias("key")).select("key", "n")
     split = materialize(spread_join(root, mixed, "key", some * (perms // rows)).select("key", "node", "root"))
     more = materialize(_crossed(split, sig, threshold))
     if not more.isEmpty():
