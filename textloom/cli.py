@@ -7,6 +7,7 @@ import json
 import sys
 from collections.abc import Callable
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +33,8 @@ def _one(docs: DataFrame, path: str) -> str:
 
 def build(spark: SparkSession, a) -> dict:
     s = files.resolved(files.config(a.config), a.profile, vars(a), {"types": "md,txt,rst", "output": INDEX})
-    ignore = [x for f in a.exclude_from for x in open(f)]
+    known = Path(a.path, ".gitignore")
+    ignore = [x for f in ([known] if known.is_file() else []) + a.exclude_from for x in Path(f).read_text().splitlines()]
     docs = files.corpus(spark, a.path, tuple(s["types"].split(",")), tuple(a.exclude), tuple(a.roots), tuple(ignore))
     built = store.build(docs, s["output"], int(datetime.now(timezone.utc).timestamp()), a.path)
     if a.renames:

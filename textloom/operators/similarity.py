@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,43 +24,38 @@ def keywords(docs: DataFrame) -> DataFrame:
     return index.keyword_sets(docs).select("path", "term")
 
 
-def _simhash_of(shingles: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, sim_lo, sim_hi from rows of shingles: bit i is set if most shingles have it."""
-    h = shingles.select(*keys, T.hash32(F.col("shingle"), 1).alias("a"), T.hash32(F.col("shingle"), 9).alias("b"))
-    vote = lambda c, i: F.sum(F.shiftright(F.col(c), i).bitwiseAND(F.lit(1)) * 2 - 1)
-    sums = h.groupBy(*keys).agg(*[vote("a", i).alias(f"a{i}") for i in range(32)], *[vote("b", i).alias(f"b{i}") for i in range(32)])
+def _fingerprint(text: str | None) -> tuple[int, int]:
+    """The low and high 32 bits of the SimHash of a text's runs of three words; 0 for shorter texts."""
+    w = [x for x in re.split("[ \t\n\r]+", text or "") if x]
+    if len(w) < 3:
+        return 0, 0
+    digests = b"".join(hashlib.md5(f"{x} {y} {z}".encode("utf-8", "surrogatepass")).digest()[:8] for x, y, z in zip(w, w[1:], w[2:]))
+    bits = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1)
+    lo, hi = np.packbits(2 * bits.sum(axis=0, dtype=np.int64) > len(bits)).view(">u4")
+    return int(lo), int(hi)
 
-    def pack(c: str) -> Column:
-        out = F.lit(0).cast("long")
-        for i in range(32):
-            out = out + F.when(F.col(f"{c}{i}") > 0, F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long"))
-        return out
 
-    return sums.select(*keys, pack("a").alias("sim_lo"), pack("b").alias("sim_hi"))
+def _fingerprints(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    for s in texts:
+        yield pd.DataFrame([_fingerprint(x) for x in s], columns=["sim_lo", "sim_hi"], dtype="int64")
 
 
-def _shingles(text: Column) -> tuple[Column, Column]:
-    """Runs of three words, and the words."""
-    w = F.filter(F.split(text, "[ \t\n\r]+"), lambda x: x != "")
-    return F.transform(F.sequence(F.lit(1), F.size(w) - 2), lambda i: F.array_join(F.slice(w, i, 3), " ")), w
+def _fingerprinted(df: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, sim_lo, sim_hi: a text's shingles are in its row, so nothing is shuffled; 64 votes as JVM aggregates take far longer."""
+    udf = F.pandas_udf(_fingerprints, "sim_lo long, sim_hi long")
+    return df.select(*keys, udf("content").alias("x")).select(*keys, "x.*")
 
 
 @stored
 def simhash(docs: DataFrame) -> DataFrame:
-    """path, sim_lo, sim_hi: over runs of three words, case kept; 0 for shorter documents."""
-    sh, w = _shingles(F.col("content"))
-    found = _simhash_of(docs.where(F.size(w) >= 3).select("path", F.explode(sh).alias("shingle")), ["path"])
-    return docs.select("path").join(found, "path", "left").na.fill(0, ["sim_lo", "sim_hi"])
+    """path, sim_lo, sim_hi: over runs of three words, case kept; bit i is set if most shingles have it; 0 for shorter documents."""
+    return _fingerprinted(docs, ["path"])
 
 
 @stored
 def section_fingerprints(docs: DataFrame) -> DataFrame:
     """path, heading, level, line_start, line_end, sim_lo, sim_hi."""
-    s = structure.sections(docs).where("level > 0")
-    keys = ["path", "heading", "level", "line_start", "line_end"]
-    sh, w = _shingles(F.col("content"))
-    found = _simhash_of(s.where(F.size(w) >= 3).select(*keys, F.explode(sh).alias("shingle")), keys)
-    return s.select(*keys).join(found, keys, "left").na.fill(0, ["sim_lo", "sim_hi"])
+    return _fingerprinted(structure.sections(docs).where("level > 0"), ["path", "heading", "level", "line_start", "line_end"])
 
 
 def hamming(a: str, b: str) -> Column:
@@ -151,7 +152,6 @@ def similar_all(docs: DataFrame, asked: DataFrame, k: int = 5, threshold: float
     pairs = _blocks(sig, names, 1024).crossJoin(questions)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         def side(b, i, prefix):
@@ -248,7 +248,6 @@ def near_sections(docs: DataFrame, asked: DataFrame, threshold: float = 0.7) ->
     most = int((1 - threshold) * 64 + 1e-9)
 
     def run(batches):
-        import numpy as np
         import pyarrow as pa
 
         whole = lambda b, lo, hi, i: (b.column(lo)[i].values.to_numpy().astype(np.uint64) | b.column(hi)[i].values.to_numpy().astype(np.uint64) << np.uint64(32))
@@ -277,8 +276,6 @@ def section_clusters(docs: DataFrame, threshold: float = 0.7, least: int = 2) ->
     f = section_fingerprints(docs)
 
     def fold(p):
-        import numpy as np
-
         p = p.sort_values(["path", "line_start"], kind="stable")
         v = p["sim_lo"].to_numpy(np.uint64) | (p["sim_hi"].to_numpy(np.uint64) << np.uint64(32))
         leaders, lead, sim = np.zeros(0, np.uint64), [], []
