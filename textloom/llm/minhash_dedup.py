@@ -30,6 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from . import _util
 from ._tokens import grams, slices, words
 from ._util import discard, fresh, materialize, own, spread_join
 
@@ -115,7 +116,8 @@ def components(edges: DataFrame) -> DataFrame:
         state = (now.n, now.s)
         both = e.union(e.select("v", "u")).toDF("u", "v")
         least = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
-        large = materialize(spread_join(both, least, "u", 2 * now.n).select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
+        written = materialize if now.n > _util.FLOOR else lambda df: df  # a small graph is cheaper to derive twice
+        large = written(spread_join(both, least, "u", 2 * now.n).select("u", "v", F.least("u", "m").alias("m")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         # after large-star a node has at most as many smaller neighbours as edges led to it from smaller ones
         small = spread_join(large, large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "u", now.n).select("u", "v", "m")
         new = small.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u"), F.col("m").alias("v")))).alias("x")).select("x.*").where("u <> v").distinct()
@@ -189,8 +191,9 @@ def groups(docs: DataFrame, perms: int = PERMS, rows: int = ROWS, shingle: int =
     split = materialize(spread_join(root, mixed, "key", some * (perms // rows)).select("key", "node", "root"))
     more = materialize(_crossed(split, sig, threshold))
     if not more.isEmpty():
-        discard(comp)
-        comp = components(edges.union(more))
+        # what is known already is a forest of stars, which takes few rounds
+        comp, old = components(comp.select(F.col("node").alias("a"), F.col("root").alias("b")).union(more)), comp
+        discard(old)
     alike = nodes.where("copies > 1").select("node")
     found = materialize(comp.select("node", "root").unionByName(alike.join(comp, "node", "left_anti").select("node", F.col("node").alias("root"))).join(nodes.select("node", F.col("copies").alias("n")), "node"))
     out = materialize(spread_join(sigs.select("node", "doc_id"), found, "node", sigs.count()).select("node", "root", "doc_id", F.monotonically_increasing_id().alias("row")))
