@@ -145,7 +145,7 @@ def similar(docs: DataFrame, path: str, k: int = 5, threshold: float = 0.3) -> D
 def similar_all(docs: DataFrame, asked: DataFrame, k: int = 5, threshold: float = 0.3) -> DataFrame:
     """query, path, jaccard, simhash, combined: similar() for every document of asked (path), each against all others.
 
-    Blocks of questions meet blocks of documents; a task counts the terms that any two of them share by arrays and gives each question's k best of the block."""
+    Blocks of questions meet blocks of documents; a task counts the terms that any two of them share by arrays and gives each question's k best of the block, with what rounding may make equal to them."""
     sig = signatures(docs).select("path", F.transform(F.coalesce("terms", F.array().cast("array<string>")), lambda t: F.xxhash64(t)).alias("terms"), "sim_lo", "sim_hi")
     names = ["path", "terms", "sim_lo", "sim_hi"]
     questions = _blocks(sig.join(asked.select("path"), "path", "left_semi"), names, 256).select(*[F.col(c).alias(f"q_{c}") for c in names])
@@ -177,17 +177,19 @@ def similar_all(docs: DataFrame, asked: DataFrame, k: int = 5, threshold: float
                 union = q_n[:, None] + n[None, :] - both
                 jac = np.where((q_n[:, None] > 0) & (n[None, :] > 0), both / np.maximum(union, 1), 0.0)
                 sim = 1 - np.bitwise_count(q_bits[:, None] ^ bits[None, :]) / 64
-                total = np.round(0.6 * jac + 0.4 * sim, 6)
+                total = 0.6 * jac + 0.4 * sim
                 total[q_path[:, None] == path[None, :]] = -1
                 out = []
                 for x in range(len(q_path)):
-                    ok = np.flatnonzero(total[x] >= threshold)
-                    best = ok[np.lexsort((path[ok].astype(str), -total[x][ok]))][:k]
-                    out += [(q_path[x], path[y], jac[x, y], sim[x, y], total[x, y]) for y in best]
-                cols = list(zip(*out)) or [()] * 5
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.float64(), pa.float64()))], names=["query", "path", "jaccard", "simhash", "combined"])
-
-    found = pairs.mapInArrow(run, "query string, path string, jaccard double, simhash double, combined double")
+                    ok = np.flatnonzero(total[x] >= threshold - 1e-6)
+                    if len(ok) > k:  # and what rounding may make equal to the k-th
+                        ok = ok[total[x][ok] >= np.partition(total[x][ok], -k)[-k] - 2e-6]
+                    out += [(q_path[x], path[y], jac[x, y], sim[x, y]) for y in ok]
+                cols = list(zip(*out)) or [()] * 4
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.float64(), pa.float64()))], names=["query", "path", "jaccard", "simhash"])
+
+    found = pairs.mapInArrow(run, "query string, path string, jaccard double, simhash double")
+    found = found.withColumn("combined", F.round(0.6 * F.col("jaccard") + 0.4 * F.col("simhash"), 6)).where(F.col("combined") >= threshold)
     rank = F.row_number().over(W.partitionBy("query").orderBy(F.desc("combined"), "path"))
     return _rounded(found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank"), "jaccard", "simhash")
 
