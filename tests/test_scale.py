@@ -1,10 +1,12 @@
 """What large tables need: work stays in a document's row, copies aren't expanded into pairs, folds don't hold what they read."""
 
+import hashlib
 import re
 
 import pytest
 
-from textloom.operators import structure
+from textloom import constants as K
+from textloom.operators import index, search, similarity, structure, vocabulary
 
 TEXTS = ["", "\n", "# A\r\n\nx\n## B\n", "no heading\n", "pre\n# A\n#\n####### seven\n###### six\nlast", "```\n# in code\n```\n# A"]
 
@@ -32,3 +34,52 @@ def test_sections_come_from_their_row(odd):
     assert {tuple(r) for r in structure.spans(odd).collect()} == {r[:-1] for r in want if r[2]}
     for f in (structure.sections, structure.spans):
         assert not any(x in plan(f(odd)) for x in ("Exchange", "Join", "Union"))
+
+
+WORDY = ["# Testing settings\nthe Settings, testings settingness tests\n    code words\nKelvin K kelvin\n", "plain tests of testing\n## Tests\nx_1-y", "a of\n", "## Deployments\n", "deploy"]
+
+
+@pytest.fixture(scope="module")
+def wordy(spark):
+    return spark.createDataFrame([(f"p{i}.md", t) for i, t in enumerate(WORDY)], "path string, content string")
+
+
+def test_words_are_counted_in_their_row(spark, wordy, monkeypatch):
+    """Terms, keywords, postings and minima of a document, as before by shuffled groups of (path, term), now from its row."""
+    tf, marks, posts = {}, {}, []
+    for i, t in enumerate(WORDY):
+        path = f"p{i}.md"
+        for n, line in enumerate(t.rstrip("\n").split("\n"), 1):
+            if line.startswith(("    ", "```")):
+                continue
+            for w in search.words_py(line):
+                tf[path, search.stem_py(w)] = tf.get((path, search.stem_py(w)), 0) + 1
+            if m := re.match(r"^(#{1,6})\s+(.+)$", line):
+                posts += [(search.stem_py(w), path, n, m[2], len(m[1])) for w in search.words_py(m[2])]
+                marks |= {(path, search.stem_py(w)): True for w in search.words_py(m[2])}
+    posts += [(search.stem_py(t), p, None, None, None) for p, t in tf]
+    rows = lambda df: sorted(map(str, map(tuple, df.collect())))
+    as_text = lambda xs: sorted(map(str, xs))
+    assert rows(index.term_freq(wordy)) == as_text((*k, n) for k, n in tf.items())
+    assert rows(index.keyword_sets(wordy)) == as_text((*k, k in marks) for k in tf)
+    assert rows(index.postings(wordy)) == as_text(posts)
+    assert {r.path: r.doc_length for r in index.doc_length(wordy).collect()} == {f"p{i}.md": sum(n for (p, _), n in tf.items() if p == f"p{i}.md") for i in range(len(WORDY))}
+    for most in (index.MOST, 1):  # added up at once, or each document alone
+        monkeypatch.setattr(index, "MOST", most)
+        want = {t: (sum(x[0] == t for x in posts), len(ps := {x[1] for x in posts if x[0] == t}), min(ps)) for t in {x[0] for x in posts}}
+        assert {r.term: (r.postings, r.docs) for r in index.postings_count(wordy).collect()} == {t: v[:2] for t, v in want.items()}
+        assert {r.term: (r.term_freq, r.doc_freq, r.first_path) for r in vocabulary.frequencies(wordy).collect()} == want
+    x = {t: int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % K.PRIME for _, t in tf}
+    minima = {p: [min((x[t] * a + b) % K.PRIME for q, t in tf if q == p) for a, b in K.minhash_coefficients()] for p, _ in tf}
+    assert {r.path: r.minhash for r in similarity.minhash(wordy).collect()} == minima
+    for f in (index.term_freq, index.keyword_sets, index.postings, similarity.minhash):
+        assert "Exchange" not in plan(f(wordy))
+    for f in (index.postings_count, vocabulary.frequencies, vocabulary.vocabulary):  # documents are counted without a shuffle of (term, path)
+        assert not re.search(r"Exchange hashpartitioning\(term#\d+, path#", plan(f(wordy))) and plan(f(wordy)).count("MapInArrow") == 2 and "Join" not in plan(f(wordy))
+
+
+def test_a_difference_reads_two_documents(wordy):
+    """Only the texts of the two are taken apart, not the corpus."""
+    got = {(r.term, r.side) for r in similarity.diff(wordy, "p1.md", "p4.md").collect()}
+    assert ("deploy", "only2") in got and ("test", "only1") in got
+    assert "Aggregate" not in plan(similarity.keywords(wordy, "p1.md")) and not re.search(r"Exchange hashpartitioning\(path#", plan(similarity.diff(wordy, "p1.md", "p4.md")))
