@@ -83,3 +83,18 @@ def test_a_difference_reads_two_documents(wordy):
     got = {(r.term, r.side) for r in similarity.diff(wordy, "p1.md", "p4.md").collect()}
     assert ("deploy", "only2") in got and ("test", "only1") in got
     assert "Aggregate" not in plan(similarity.keywords(wordy, "p1.md")) and not re.search(r"Exchange hashpartitioning\(path#", plan(similarity.diff(wordy, "p1.md", "p4.md")))
+
+
+def test_copies_are_no_pairs(spark):
+    """200 copies of one text and 60 of one like it are 259 rows, not 33,670; the group's mean counts every copy's pair as before."""
+    a = " ".join(f"word{i} tail{i}" for i in range(60))
+    texts = [a] * 200 + [a + " extra"] * 60 + ["", "", "quite other words here"]
+    docs = spark.createDataFrame([(f"d{i:03}.md", t) for i, t in enumerate(texts)], "path string, content string")
+    pairs = similarity.lsh_pairs(docs).collect()
+    assert len(pairs) == 259 and {(r.path1, r.path2) for r in pairs if not r.copy} == {("d000.md", "d200.md")}
+    assert {r.path2: r.path1 for r in pairs if r.copy} == {f"d{i:03}.md": "d000.md" if i < 200 else "d200.md" for i in range(260) if i not in (0, 200)}
+    (link,) = [r for r in similarity.dupes(docs).collect() if not r.copy]
+    got = similarity.consolidation(docs).collect()
+    assert len(got) == 260 and {r.canonical for r in got} == {"d000.md"}
+    assert {r.similarity for r in got} == {round((199 + 60 * link.combined) / 259, 6)}
+    assert {(r.first, r.members) for r in similarity.dupes_grouped(docs).collect()} == {("d000.md", 200), ("d200.md", 59)}
