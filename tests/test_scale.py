@@ -1,8 +1,10 @@
 """What large tables need: work stays in a document's row, copies aren't expanded into pairs, folds don't hold what they read."""
 
 import hashlib
+import random
 import re
 
+import numpy as np
 import pytest
 
 from textloom import constants as K
@@ -98,3 +100,13 @@ def test_copies_are_no_pairs(spark):
     assert len(got) == 260 and {r.canonical for r in got} == {"d000.md"}
     assert {r.similarity for r in got} == {round((199 + 60 * link.combined) / 259, 6)}
     assert {(r.first, r.members) for r in similarity.dupes_grouped(docs).collect()} == {("d000.md", 200), ("d200.md", 59)}
+
+
+def test_shared_terms_by_product_and_by_occurrence():
+    rng = np.random.default_rng(1)
+    some = lambda n, p: [set(np.flatnonzero(rng.random(40) < p)) for _ in range(n)]
+    q, d = some(50, np.linspace(0, 0.9, 40)), [set(), *some(70, 0.3)]
+    flat = lambda sets: (np.array([t for s in sets for t in s], np.int64), np.repeat(np.arange(len(sets)), [len(s) for s in sets]))
+    got = similarity.shared(*flat(q), len(q), *flat(d), len(d))
+    assert got.tolist() == [[len(x & y) for y in d] for x in q]
+    assert similarity.shared(*flat([set()]), 1, *flat(d), len(d)).tolist() == [[0] * len(d)]
