@@ -110,3 +110,26 @@ def test_shared_terms_by_product_and_by_occurrence():
     got = similarity.shared(*flat(q), len(q), *flat(d), len(d))
     assert got.tolist() == [[len(x & y) for y in d] for x in q]
     assert similarity.shared(*flat([set()]), 1, *flat(d), len(d)).tolist() == [[0] * len(d)]
+
+
+def test_sections_are_folded_as_they_pass(spark):
+    """As in test_engine, but in batches of three, and no group of all sections is held."""
+    rng = random.Random(3)
+    docs = spark.createDataFrame([(f"p{i:02}.md", "\n".join(f"# h{j}\n{' '.join(rng.choice('abc') for _ in range(6))}" for j in range(3))) for i in range(20)], "path string, content string")
+    size = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 3)
+    try:
+        df = similarity.section_clusters(docs, least=1)
+        got = {(r.path, r.line_start): (r.leader, r.similarity) for r in df.collect()}
+        assert "FlatMapGroups" not in plan(df)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+    leaders, want = [], {}
+    for i, r in enumerate(sorted(similarity.section_fingerprints(docs).collect(), key=lambda r: (r.path, r.line_start))):
+        bits = r.sim_lo | r.sim_hi << 32
+        like = max(((1 - (bits ^ b).bit_count() / 64, -j) for j, b in leaders), default=(0, 0))
+        if like[0] < 0.7:
+            leaders.append((i, bits))
+            like = (1.0, -i)
+        want[r.path, r.line_start] = (-like[1], round(like[0], 6))
+    assert got == want and 1 < len(leaders) < 60
