@@ -133,3 +133,14 @@ def test_sections_are_folded_as_they_pass(spark):
             like = (1.0, -i)
         want[r.path, r.line_start] = (-like[1], round(like[0], 6))
     assert got == want and 1 < len(leaders) < 60
+
+
+def test_characteristic_terms_are_chosen_in_the_row(spark, monkeypatch):
+    """Whether all terms' idf or one's is known in the row, the best are the same; a document's terms aren't shuffled to find its own."""
+    rng = random.Random(2)
+    docs = spark.createDataFrame([(f"p{i}.md", " ".join(f"w{min(rng.randrange(1, 60), rng.randrange(1, 60))}ing tests" for _ in range(40))) for i in range(30)], "path string, content string")
+    monkeypatch.setattr(search, "COMMON", 10_000)
+    want = sorted(map(tuple, search.doc_terms(docs, ["tests"]).collect()))
+    monkeypatch.setattr(search, "COMMON", 3)
+    df = search.doc_terms(docs, ["tests"])
+    assert sorted(map(tuple, df.collect())) == want and want and not re.search(r"Exchange hashpartitioning\(path#\d+, term#", plan(df))
